@@ -266,14 +266,10 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
         self.exactly = 0
 
-    def propose(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        return [self.vocabulary.greedy(w) for w in words]
-
     def _learn(self, words: list[bytes]) -> None:
         v = self.vocabulary
         special = {i: [v.special[w]] for i, w in enumerate(words) if w in v.special}
-        found = self.propose(words)
+        found = [v.greedy(w) for w in words]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int64, int(size.sum()))
         owner = np.repeat(np.arange(len(found)), size)
@@ -285,6 +281,9 @@ class Encoder:
             self.exactly += 1
         for i, ids in special.items():
             found[i] = ids
+        self._store(words, found)
+
+    def _store(self, words: list[bytes], found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
         n, m = len(self.known), self.used
