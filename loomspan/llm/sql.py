@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomspan.llm import line_dedup, mixing
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL, "op4_mixing": mixing.SQL}
