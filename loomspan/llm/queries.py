@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, chat, line_dedup, mixing, token_file
+from loomspan.llm import bpe, chat, line_dedup, mixing, token_file, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of the query's own, whose texts look like control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -36,5 +40,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(turns.unionByName(spark.createDataFrame(own, turns.schema)))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op7_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op7_chat, op9_topk)}
