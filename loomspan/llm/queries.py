@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, chat, line_dedup, mixing, token_file, topk, url_filter
+from loomspan.llm import bpe, chat, line_dedup, mixing, token_file, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,13 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(turns.unionByName(spark.createDataFrame(own, turns.schema)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op7_chat, op9_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op7_chat, op8_toxicity, op9_topk)}
