@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Texts are lower-cased and their n-grams of 3 to 5 code points hashed to ``2**BITS`` buckets; a text's
-features are its n-gram frequencies, so that long and short texts compare.  From the labelled sample come,
+features are its (damped) n-gram frequencies, so that long and short texts compare.  From the labelled sample come,
 for each bucket, the smoothed log ratio of its counts in toxic and other texts; the ``FEATURES`` buckets
 whose document counts differ most between the classes are kept, scaled by their ratio, and weighed by
 logistic regression.  The margin at which a fifth of the sample, left out of the regression, separates best
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from loomspan.llm import bpe, shared, text_batches
 
 #: Labelled rows of each class at most; buckets' bits; kept buckets; lengths of n-grams; the score from which a text counts as toxic.
-SAMPLE, BITS, FEATURES, LENGTHS, TOXIC = 6000, 19, 8192, (3, 4, 5), 0.7
+SAMPLE, BITS, FEATURES, LENGTHS, TOXIC = 6000, 19, 4096, (3, 4, 5), 0.7
+#: n-grams added to each text's count; standard errors that a bucket's shares in the classes differ by at least.
+DAMPING, LEAST_Z = 200, 4.0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +54,8 @@ def _buckets(points: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
 
 
 def _n_grams(bounds: np.ndarray) -> np.ndarray:
-    return sum(np.maximum(np.diff(bounds) - k + 1, 0) for k in LENGTHS)
+    """What counts are divided by: the n-grams of each text, and a few more, so that a chance hit in a short text says little."""
+    return sum(np.maximum(np.diff(bounds) - k + 1, 0) for k in LENGTHS) + DAMPING
 
 
 class Model:
@@ -70,7 +73,7 @@ class Model:
             sums = np.concatenate([[0.0], np.cumsum(np.where(within, self._table[bucket], 0), dtype=np.float64)])
             at = np.minimum(bounds, len(sums) - 1)
             total += sums[at[1:]] - sums[at[:-1]]
-        margin = self.bias + self.slope * total / np.maximum(_n_grams(bounds), 1)
+        margin = self.bias + self.slope * total / _n_grams(bounds)
         return 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
 
 
@@ -113,8 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None) ->
     r0, r1 = (F.col(f"n{c}") / sizes[c] for c in (0, 1))
     whole = (F.col("n0") + F.col("n1")) / (sizes[0] + sizes[1])
     differ = F.abs(r1 - r0) / F.sqrt(whole * F.greatest(F.lit(1e-4), 1 - whole) + 1e-6)
+    spread = (1 / sizes[0] + 1 / sizes[1]) ** 0.5
     ratio = F.log((F.col("n1") + 1) / (sizes[1] + 2)) - F.log((F.col("n0") + 1) / (sizes[0] + 2))
-    best = counts.select("bucket", ratio.alias("ratio"), differ.alias("differ")).orderBy(F.desc("differ"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
+    best = counts.select("bucket", ratio.alias("ratio"), differ.alias("differ")).where(F.col("differ") >= LEAST_Z * spread).orderBy(F.desc("differ"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
     buckets, ratios = best["bucket"].to_numpy(np.int64), best["ratio"].to_numpy(float)
     place = np.full(1 << BITS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
@@ -132,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None) ->
                     keys.append(owner[: len(bucket)][on].astype(np.int64) << 20 | feature[on])
                 key, times = np.unique(np.concatenate(keys), return_counts=True)
                 row = key >> 20
-                value = times / np.maximum(_n_grams(bounds), 1)[row]
+                value = times / _n_grams(bounds)[row]
                 ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((key & ((1 << 20) - 1)).astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), batch.column("apart").slice(a, b - a), *lists], ["toxic", "apart", "features", "values"])
@@ -166,10 +170,10 @@ def _regress(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndar
 
 
 def _cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin with the fewest errors, a clean text refused counting twice; amid the widest such gap."""
+    """The margin with the fewest errors, a clean text refused counting as five; amid the widest such gap."""
     order = np.argsort(margin)
     m, t = margin[order], y[order]
-    errors = np.append(0, np.cumsum(t == 1)) + 2 * np.append(np.cumsum((t == 0)[::-1])[::-1], 0)
+    errors = np.append(0, np.cumsum(t == 1)) + 5 * np.append(np.cumsum((t == 0)[::-1])[::-1], 0)
     padded = np.concatenate([[m[0] - 1], m, [m[-1] + 1]])
     width = padded[1:] - padded[:-1]
     width[errors > errors.min()] = -1
