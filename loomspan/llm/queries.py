@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, chat, line_dedup, mixing, token_file, topk, toxicity, url_filter
+from loomspan.llm import bpe, chat, line_dedup, mixing, quality, token_file, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of the query's own, whose texts look like control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,4 +53,4 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op7_chat, op8_toxicity, op9_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op6_quality, op7_chat, op8_toxicity, op9_topk)}
