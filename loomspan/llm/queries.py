@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, chat, line_dedup, mixing, quality, token_file, topk, toxicity, url_filter
+from loomspan.llm import bpe, chat, jaccard, line_dedup, mixing, quality, token_file, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op6_quality, op7_chat, op8_toxicity, op9_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_file, op3_line_dedup, op4_mixing, op5_url_filter, op6_quality, op7_chat, op8_toxicity, op9_topk, op10_jaccard)}
