@@ -409,3 +409,19 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """The kept columns, ids, n_tokens, and round_trip: whether decoding the ids gives the text."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>, n_tokens long, round_trip boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for a, b, data, bounds in text_slices(batch.column("text")):
+                ids, at = enc.encode(data, bounds)
+                same = [x == data[i:j] for x, i, j in zip(decode(enc.vocabulary, ids, at), bounds[:-1].tolist(), bounds[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), lists, pa.array(np.diff(at)), pa.array(same, pa.bool_())], [*keep, "ids", "n_tokens", "round_trip"])
+
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
