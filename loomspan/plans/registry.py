@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.plans import alignment_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+GROUPS = (alignment_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for g in GROUPS for name, q in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for g in GROUPS for name, text in g.SQL.items()}
