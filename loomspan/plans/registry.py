@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.plans import alignment_queries, graph_queries
+from loomspan.plans import alignment_queries, cohort_queries, graph_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (alignment_queries, graph_queries)
+GROUPS = (alignment_queries, graph_queries, cohort_queries)
 
 
 def queries() -> dict[str, Query]:
