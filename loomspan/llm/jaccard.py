@@ -8,13 +8,15 @@ filter (two sets that reach the threshold share k shingles of their prefixes of
 shingles count as frequent changes the work, never the result.  The boundary is the size at which the
 measured numbers of subsets and of list entries to be met cost least together.
 
-Lists don't emit all their pairs.  Each list's members of like size are compared with the first of them (a
-star); the links found are closed to components.  Then only pairs of one list that are in different
-components, and that neither sizes, positions nor the triangle inequality through the star's centre
-rule out, are compared too.  So each pair that could link is compared or is already connected, and a group
+Lists don't emit all their pairs.  Each list's members of like size are compared with one of them (a
+star, whose centre is the set that meets most others); the links found are closed to components.  Then only pairs of one list that are in different
+components are compared too, less those that sizes, positions, bitmaps or the triangle inequality through the
+star's centre rule out; long lists are gone through in blocks.  So each pair that could link is compared or is already connected, and a group
 of copies costs rows in proportion to its size.
 
-Sets are compared exactly, on 64-bit shingle hashes.  A set's id is 64 bits of the hash of its shingles;
+Pairs are first held against bitmaps: a set's bitmap has a bit for each shingle or so, turned over by every
+shingle that falls on it, so two bitmaps differ in no more bits than the sets do in shingles.  Only pairs that
+this bound lets link have their sets fetched and compared exactly, on 64-bit shingle hashes.  A set's id is 64 bits of the hash of its shingles;
 if another 64 bits show two sets with one id, all ids are drawn anew with another salt.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; fewer than five
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, components, shared, text_batches
@@ -38,6 +40,8 @@ from loomspan.llm import bpe, components, shared, text_batches
 WORDS, PERCENT = 5, 80
 #: Documents of one slice that make a shingle a candidate for frequent, and documents in all; frequent shingles at most.
 SLICE_TIMES, TIMES, MOST_FREQUENT = 3, 12, 500_000
+#: Rows that comparing one candidate costs; entries of a list whose pairs are plainly joined; members of a block.
+COMPARING, SHORT_LIST, BLOCK = 20, 32, 256
 #: Sizes up to which a boundary is looked for; rows up to which chosen row numbers are broadcast.
 MOST_BOUNDARY, BROADCAST_ROWS = 128, 500_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -84,12 +88,20 @@ def shingle_sets(data: bytes, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def bitmaps(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of a set's shingles over 2^k ranges of hashes, 2^k >= size, and over half as many, in words of 64."""
+    k = max(6, int(len(s) - 1).bit_length())
+    odd = (np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1).astype(np.uint8)
+    half = odd.reshape(-1, 2).sum(axis=1).astype(np.uint8) & 1 if k > 6 else odd
+    return np.packbits(odd).view(np.int64), np.packbits(half).view(np.int64)
+
+
 def _signature(s: np.ndarray, salt: int) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
 
 
 def _digests(docs: DataFrame, salt: int) -> DataFrame:
-    """_rid, doc_id, n, set_id and check of every row; with some rows, shingles that repeat in its slice and how often."""
+    """_rid, doc_id, n, set_id, check and bitmaps of every row; with some rows, shingles that repeat in its slice and how often."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,20 +112,22 @@ def _digests(docs: DataFrame, salt: int) -> DataFrame:
                 each, times = np.unique(np.concatenate(sets), return_counts=True)
                 often = times >= SLICE_TIMES
                 none = [None] * (b - a - 1)
+                maps = [bitmaps(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_rid").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
-                     pa.array([each[often].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64()))],
-                    ["_rid", "doc_id", "n", "set_id", "check", "often", "times"],
+                     pa.array([each[often].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64())),
+                     *(pa.array([m[i] for m in maps], pa.list_(pa.int64())) for i in (0, 1))],
+                    ["_rid", "doc_id", "n", "set_id", "check", "often", "times", "map", "half"],
                 )
 
-    return docs.select("_rid", "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"_rid long, doc_id {kind}, n long, set_id long, check long, often array<long>, times array<long>")
+    return docs.select("_rid", "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"_rid long, doc_id {kind}, n long, set_id long, check long, often array<long>, times array<long>, map array<long>, half array<long>")
 
 
 def boundary(sizes: dict[int, int], heavier: int, met: float) -> int:
     """The size up to which sets are light, by cost.
 
-    sizes: how many sets have each size up to ``MOST_BOUNDARY``; heavier: the rest; met: entries of other
-    sets that a list entry meets.  A 2-subset costs a row; a list entry costs a row and what it meets.
+    sizes: how many sets have each size up to ``MOST_BOUNDARY``; heavier: the rest; met: the share of list
+    entries that repeat, hence meet others.  A 2-subset costs a row; a list entry costs a row and comparing what it meets.
     """
     def cost(b: int) -> float:
         total = 0.0
@@ -122,7 +136,7 @@ def boundary(sizes: dict[int, int], heavier: int, met: float) -> int:
             if n <= b:
                 total += times * (prefix + 2) * (prefix + 1) / 2
             if n > b or 100 * n >= PERCENT * (b + 1):
-                total += times * (prefix + 1) * (1 + met)
+                total += times * (prefix + 1) * (1 + COMPARING * met)
         return total
 
     return min(range(0, MOST_BOUNDARY + 1), key=lambda b: (cost(b), b))
@@ -179,7 +193,7 @@ def _postings(docs: DataFrame, salt: int, frequent: np.ndarray, light: int) -> D
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """key, a, b, n, small, and whether the list has three sets or more, of each member b of a list of two or more; a is the first of its like size.
+    """key, a, b, n, small, and whether the list has three sets or more, of each member b of a list of two or more; a is the centre it is compared with.
 
     Lists are read in order, so a task holds one entry of a list and no more.
     """
@@ -205,13 +219,13 @@ def _stars(postings: DataFrame) -> DataFrame:
                 centre, centre_n = sid[heads][at], n[heads][at].astype(np.int64)
             if not new[0]:
                 centre[run_of < 0], centre_n[run_of < 0] = carry[1], carry[2]
-            # Sets too large for the first of their list start a star of their own.
-            far = np.flatnonzero(PERCENT * n.astype(np.int64) > 100 * centre_n)
+            # Sets of a size that can't link with the first of their list start a star of their own.
+            far = np.flatnonzero((PERCENT * n.astype(np.int64) > 100 * centre_n) | (100 * n.astype(np.int64) < PERCENT * centre_n))
             last_key, own, own_n = None, 0, 0
             if len(far) and carry is not None and carry[0] == key[far[0]]:
                 last_key, own, own_n = carry[0], carry[3], carry[4]
             for i in far.tolist():
-                if key[i] != last_key or PERCENT * int(n[i]) > 100 * own_n:
+                if key[i] != last_key or PERCENT * int(n[i]) > 100 * own_n or 100 * int(n[i]) < PERCENT * own_n:
                     last_key, own, own_n = key[i], int(sid[i]), int(n[i])
                 centre[i], centre_n[i] = own, own_n
             head = (carry[1], carry[2]) if run_of[-1] < 0 else (int(sid[heads[-1]]), int(n[heads[-1]]))
@@ -222,17 +236,52 @@ def _stars(postings: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """The entries of lists with two sets or more, in order; ``times`` counts a list's entries."""
-    from pyspark.sql import Window
+    """The entries of lists with two sets or more, list after list, in each the sets first that meet most others.
 
-    counted = postings.withColumn("times", F.count("*").over(Window.partitionBy("key")))
-    return counted.where("times > 1").sortWithinPartitions("key", "n", "set_id")
+    A copied original shares its rare shingles with all copies, a copy only those it left unchanged, so the
+    original comes to be the centre that its copies are compared with.
+    """
+    held = shared.written(postings.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1"), "lists")
+    shared.released(postings.sparkSession)
+    met = shared.written(held.groupBy("set_id").agg(F.sum("times").alias("met")), "met")
+    ranked = held.join(met, "set_id").repartition("key").sortWithinPartitions("key", F.desc("met"), "n", "set_id")
+    return ranked.select("key", "n", "set_id", "small", "times")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared and both of each pair of set ids, by exact intersection; ``sets`` has a row number for each set."""
+def _bounded(pairs: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both (sizes added) and apart, the shingles that are in one of them only at least."""
     ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = shared.written(ends.join(sets, "set_id").select("set_id", "_rid"), "wanted")
+    rows = ends.join(sets.select("set_id", "_rid"), "set_id").join(digests.select("_rid", "n", "map", "half"), "_rid").drop("_rid")
+    marks = shared.written(rows, "marks")
+    x, y = (marks.select(F.col("set_id").alias(k), F.col("n").alias(f"_n{k}"), F.col("map").alias(f"_m{k}"), F.col("half").alias(f"_h{k}")) for k in ("a", "b"))
+    same = F.size("_ma") == F.size("_mb")
+    mine, other = F.when(same | (F.size("_ma") < F.size("_mb")), F.col("_ma")).otherwise(F.col("_ha")), F.when(same | (F.size("_mb") < F.size("_ma")), F.col("_mb")).otherwise(F.col("_hb"))
+    apart = F.aggregate(F.zip_with(mine, other, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, w: n + w)
+    # Sets of sizes that can link have bitmaps of like size, or one twice the other's.
+    near = F.greatest("_na", "_nb") * PERCENT <= 100 * F.least("_na", "_nb")
+    both = pairs.join(y, "b").join(x, "a")
+    done = shared.written(both.select("a", "b", (F.col("_na") + F.col("_nb")).alias("both"), F.when(near, apart).otherwise(F.col("_na") + F.col("_nb")).cast("long").alias("apart")), "bounded")
+    shared.dropped(marks)
+    return done
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, least and most (bounds of the distance, equal where it was found exactly) and link, for each pair of set ids."""
+    bounded = _bounded(pairs, digests, sets)
+    # Sets that share 80 % of their union are apart by a ninth of both sizes at most.
+    may = (100 - PERCENT) * F.col("both") >= (100 + PERCENT) * F.col("apart")
+    wanted = bounded.where(may).select("a", "b")
+    exact = _exact(wanted, docs, sets).select("a", "b", "shared")
+    joined = bounded.join(exact, ["a", "b"], "left")
+    far = 1 - F.col("shared") / (F.col("both") - F.col("shared"))
+    least = 2 * F.col("apart") / (F.col("both") + F.col("apart"))
+    return shared.written(joined.select("a", "b", F.coalesce(far, least).alias("least"), F.coalesce(far, F.lit(1.0)).alias("most"), F.coalesce(_is_link(F.col("shared"), F.col("both")), F.lit(False)).alias("link")), "compared")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and shared of each pair of set ids, by intersecting the sets; ``sets`` has a row number for each."""
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = shared.written(ends.join(sets.select("set_id", "_rid"), "set_id"), "wanted")
     chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.select("_rid", F.col("text").cast("string").alias("text")).join(chosen, "_rid").select("set_id", "text")
 
@@ -245,8 +294,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     whole = shared.written(texts.mapInArrow(run, "set_id long, s array<long>"), "sets")
     left, right = whole.select(F.col("set_id").alias("a"), F.col("s").alias("_sa")), whole.select(F.col("set_id").alias("b"), F.col("s").alias("_sb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("_sa", "_sb")).cast("long").alias("shared"), (F.size("_sa") + F.size("_sb")).cast("long").alias("both"))
-    done = shared.written(both, "compared")
+    done = shared.written(pairs.join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("_sa", "_sb")).cast("long").alias("shared")), "exact")
     shared.dropped(whole, wanted)
     return done
 
@@ -267,19 +315,20 @@ def linked(docs: DataFrame) -> DataFrame:
     often = digests.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy(F.col("o.often").alias("shingle")).agg(F.sum("o.times").alias("times")).where(f"times >= {TIMES}")
     top = often.orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow()
     frequent = np.sort(top.column("shingle").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    squares = float((top.column("times").to_numpy().astype(float) ** 2).sum()) if top.num_rows else 0.0
+    repeated = float(top.column("times").to_numpy().sum()) if top.num_rows else 0.0
     counts = sets.groupBy(F.least("n", F.lit(MOST_BOUNDARY + 1)).alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).collect()
     small = {r["n"]: r["sets"] for r in counts if 4 <= r["n"] <= MOST_BOUNDARY}
-    light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), squares / max(1, sum(r["shingles"] for r in counts)))
+    light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), repeated / max(1, sum(r["shingles"] for r in counts)))
     stars = shared.written(_stars(_lists(_postings(docs, salt, frequent, light))), "stars")
+    shared.released(docs.sparkSession)
     first = stars.where("a <> b").select("a", "b").distinct()
-    compared = _compared(first, docs, sets)
-    links = compared.where(_is_link(F.col("shared"), F.col("both"))).select("a", "b")
+    compared = _compared(first, docs, digests, sets)
+    links = compared.where("link").select("a", "b")
     comps = components.components(links)
-    more = _rest(stars, compared, comps)
+    more = _rest(stars, compared, comps, digests, sets)
     if not more.isEmpty():
-        again = _compared(more, docs, sets)
-        links = links.unionByName(again.where(_is_link(F.col("shared"), F.col("both"))).select("a", "b"))
+        again = _compared(more, docs, digests, sets)
+        links = links.unionByName(again.where("link").select("a", "b"))
         comps = components.components(links)
     of_sets = sets.join(comps, sets["set_id"] == comps["v"], "left").select("set_id", "doc_id", "copies", F.coalesce("comp", "set_id").alias("comp"))
     least = of_sets.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_sets"))
@@ -292,26 +341,81 @@ def linked(docs: DataFrame) -> DataFrame:
     )
 
 
-def _rest(stars: DataFrame, compared: DataFrame, comps: DataFrame) -> DataFrame:
+def _rest(stars: DataFrame, compared: DataFrame, comps: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of one list that may link, aren't compared, and whose sets are in different components."""
     member = stars.where("open").select("key", "a", F.col("b").alias("s"), "n", "small")
-    apart = compared.select("a", F.col("b").alias("s"), (1 - F.col("shared") / (F.col("both") - F.col("shared"))).alias("_far"))
     placed = member.join(comps, member["s"] == comps["v"], "left").select("key", "a", "s", "n", "small", F.coalesce("comp", "s").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least <> _most").select("key")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count("*").alias("size")).where("_least <> _most").select("key", "size")
     held = shared.written(mixed, "mixed")
-    left = placed.join(held, "key").join(apart, ["a", "s"], "left").select("key", "a", "s", "n", "small", "comp", F.coalesce("_far", F.lit(0.0)).alias("far"))
-    left = shared.written(left, "unclosed")
-    x, y = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns)), left.select(*(F.col(c).alias(f"y_{c}") for c in left.columns))
+    left = shared.written(placed.join(held, "key"), "unclosed")
+    few = _pairs_of_short_lists(left.where(F.col("size") <= SHORT_LIST), compared)
+    many = _pairs_of_long_lists(left.where(F.col("size") > SHORT_LIST), digests, sets)
+    pairs = few.unionByName(many).distinct()
+    done = compared.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    return shared.written(pairs.join(done, ["p", "q"], "left_anti").select(F.col("p").alias("a"), F.col("q").alias("b")), "rest")
+
+
+def _pairs_of_short_lists(left: DataFrame, compared: DataFrame) -> DataFrame:
+    """p and q of the pairs in lists of bounded length, less those that sizes, positions or distances to the centre rule out."""
+    apart = compared.select("a", F.col("b").alias("s"), "least", "most")
+    known = left.join(apart, ["a", "s"], "left").select("key", "a", "s", "n", "small", "comp", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(0.0)).alias("most"))
+    known = shared.written(known, "short")
+    x, y = (known.select(*(F.col(c).alias(f"{k}_{c}") for c in known.columns)) for k in ("x", "y"))
+    reach = (100 - PERCENT) / 100 + 1e-9
     may = (
         (F.col("x_comp") != F.col("y_comp"))
         & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_s") < F.col("y_s"))))
         & (100 * F.col("x_n") >= PERCENT * F.col("y_n"))
         & (F.col("x_small") | ((F.col("x_n") == F.col("y_n")) & F.col("y_small")))
-        & ((F.col("x_a") != F.col("y_a")) | (F.abs(F.col("x_far") - F.col("y_far")) <= (100 - PERCENT) / 100 + 1e-9))
+        & ((F.col("x_a") != F.col("y_a")) | ((F.col("x_least") - F.col("y_most") <= reach) & (F.col("y_least") - F.col("x_most") <= reach)))
     )
-    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & may).select(F.least("x_s", "y_s").alias("p"), F.greatest("x_s", "y_s").alias("q")).distinct()
-    done = compared.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    return shared.written(pairs.join(done, ["p", "q"], "left_anti").select(F.col("p").alias("a"), F.col("q").alias("b")), "rest")
+    return x.join(y, (F.col("x_key") == F.col("y_key")) & may).select(F.least("x_s", "y_s").alias("p"), F.greatest("x_s", "y_s").alias("q"))
+
+
+def _pairs_of_long_lists(left: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
+    """p and q of the pairs that bitmaps let link.
+
+    A list's members go into blocks, and those outside its largest component into blocks of their own; each
+    pair of blocks is one row, compared in numpy.  A pair is given only by the least key that it shares.
+    """
+    sized = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"))
+    keys = left.groupBy("s").agg(F.first("comp").alias("comp"), F.array_sort(F.collect_list("key")).alias("keys"))
+    marks = shared.written(
+        keys.join(sets.select(F.col("set_id").alias("s"), "_rid"), "s").join(digests.select("_rid", "n", "map", "half"), "_rid").select("s", F.struct("s", "comp", "n", "map", "half", "keys").alias("m")), "blocks")
+    entries = left.select("key", "s", "size").join(marks, "s").join(sized, "key")
+    block = F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    all_ = entries.groupBy("key", block).agg(F.collect_list("m").alias("x")).drop("block")
+    strays = entries.where(F.col("m.comp") != F.col("main")).groupBy("key", block).agg(F.collect_list("m").alias("y")).drop("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x, y in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y"))):
+                found = list(_block_pairs(key, x, y))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["p", "q"])
+
+    return all_.join(strays, "key").mapInArrow(run, "p long, q long")
+
+
+def _block_pairs(key: int, x: list[dict], y: list[dict]) -> Iterator[tuple[int, int]]:
+    by_words: dict[int, list[dict]] = {}
+    for m in x:
+        by_words.setdefault(len(m["map"]), []).append(m)
+    tables = {w: (ms, *(np.array([m[c] for m in ms], np.int64) for c in ("n", "comp", "map", "half"))) for w, ms in by_words.items()}
+    for m in y:
+        for w, (ms, n, comp, map_, half) in tables.items():
+            if len(m["map"]) == w:
+                mine, theirs = m["map"], map_
+            elif len(m["half"]) == w and len(m["map"]) == 2 * w:
+                mine, theirs = m["half"], map_
+            elif 2 * len(m["map"]) == w:
+                mine, theirs = m["map"], half
+            else:
+                continue  # of sizes that can't link
+            apart = np.bitwise_count((theirs ^ np.array(mine, np.int64)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = (100 * np.minimum(n, m["n"]) >= PERCENT * np.maximum(n, m["n"])) & (comp != m["comp"])
+            for i in np.flatnonzero(near & ((100 - PERCENT) * (n + m["n"]) >= (100 + PERCENT) * apart)).tolist():
+                if min(set(ms[i]["keys"]) & set(m["keys"])) == key:
+                    yield min(m["s"], ms[i]["s"]), max(m["s"], ms[i]["s"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_ids(docs: DataFrame, name: str = "_rid") -> DataFrame:
     """Each row's number in its file scan: the same in every scan of the same files."""
     return docs.withColumn(name, F.monotonically_increasing_id())
