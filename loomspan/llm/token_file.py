@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loomspan.llm import bpe, shared
 
 FRAME_IDS = 4 << 20
-LANES, LEAST_BLOCK, MOST_BLOCK = 1024, 1024, 8192
+LANES, LEAST_BLOCK, MOST_BLOCK = 2048, 512, 8192
 #: Ids of the 64 ranges: (first range, first id, bits of a range).
 RANGES = ((0, 0, 5), (32, 1024, 9), (48, 9216, 14))
 MOST_ID = 9216 + (16 << 14)
