@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import cut
+from loomspan.session import cut, lookup
 
 #: Upper bounds of the node coverage histogram; above the last one is open.
 COVERAGE_BOUNDS = (0, 1, 2, 4, 8, 16, 32, 64, 128)
@@ -132,7 +132,7 @@ def normalize_self_loops(segments: DataFrame, links: DataFrame, steps: DataFrame
     order = Window.partitionBy("path_id").orderBy("idx")
     same = F.lag("seg_id").over(order).eqNullSafe(F.col("seg_id")) & F.lag("orient").over(order).eqNullSafe(F.col("orient"))
     grouped = steps.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order)).groupBy("path_id", "_run", "seg_id", "orient").agg(F.min("idx").alias("idx"), F.count("*").alias("run"))
-    marked = grouped.join(F.broadcast(looped), F.col("seg_id") == F.col("from_id"), "left")
+    marked = grouped.join(lookup(looped), F.col("seg_id") == F.col("from_id"), "left")
     joined = (F.col("run") > 1) & F.col("from_id").isNotNull()
     name = F.when(joined, F.concat(F.col("seg_id").cast("string"), F.lit("x"), F.col("run").cast("string"))).otherwise(F.col("seg_id").cast("string"))
     split = marked.withColumn("seg", name).withColumn("_k", F.explode(F.sequence(F.lit(1), F.when(joined, 1).otherwise(F.col("run")).cast("int"))))

@@ -49,8 +49,8 @@ def lace_vcf(calls: DataFrame) -> DataFrame:
         F.when(inside, F.regexp_extract("chrom", pattern, 1)).otherwise(F.col("chrom")).alias("chrom"),
         (F.col("pos") + F.when(inside, F.regexp_extract("chrom", pattern, 2).try_cast("long")).otherwise(0)).alias("pos"), "ref", "alt", "sample", "gt",
     ).groupBy("chrom", "pos", "ref", "alt", "sample").agg(F.min("gt").alias("gt"))
-    variants = moved.select("chrom", "pos", "ref", "alt").distinct()
-    names = moved.select("sample").distinct()
-    whole = variants.crossJoin(F.broadcast(names)) if names.count() <= 10_000 else variants.join(names)
-    filled = whole.join(moved, ["chrom", "pos", "ref", "alt", "sample"], "left").withColumn("gt", F.coalesce("gt", F.lit("./.")))
-    return filled.groupBy("chrom", "pos", "ref", "alt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "gt"))), lambda x: x["gt"]), "\t").alias("genotypes"))
+    # The samples are the columns of the output's header line, so their names fit the driver.
+    names = sorted(r["sample"] for r in moved.select("sample").distinct().collect())
+    by_sample = moved.groupBy("chrom", "pos", "ref", "alt").agg(F.map_from_entries(F.collect_list(F.struct("sample", "gt"))).alias("m"))
+    held = F.transform(F.lit(names) if names else F.array().cast("array<string>"), lambda n: F.coalesce(F.try_element_at("m", n), F.lit("./.")))
+    return by_sample.select("chrom", "pos", "ref", "alt", F.array_join(held, "\t").alias("genotypes"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import cigar, intervals
-from loomspan.session import cut
+from loomspan.session import cut, lookup
 
 
 def once(value: Column) -> Column:
@@ -52,7 +52,7 @@ def query(regions: DataFrame, found: DataFrame, min_identity: float | None = Non
 
 def bed(hits: DataFrame, seqs: DataFrame, name: Column | None = None) -> DataFrame:
     """BED rows: chrom, start, end, name, score, strand."""
-    return hits.join(F.broadcast(seqs.select(F.col("seq_id").alias("_id"), F.col("name").alias("_name"))), F.col("query_id") == F.col("_id")).select(
+    return hits.join(lookup(seqs.select(F.col("seq_id").alias("_id"), F.col("name").alias("_name"))), F.col("query_id") == F.col("_id")).select(
         F.col("_name").alias("chrom"), F.least("q_first", "q_last").alias("start"), F.greatest("q_first", "q_last").alias("end"),
         (name if name is not None else F.lit(".")).cast("string").alias("name"), F.lit(".").alias("score"), strand_of(F.col("q_first"), F.col("q_last")).alias("strand"),
     )
@@ -138,5 +138,5 @@ def transitive(regions: DataFrame, found: DataFrame, max_depth: int = 2, min_out
 
 def with_subset(hits: DataFrame, seqs: DataFrame, keep: DataFrame) -> DataFrame:
     """Hits on the target itself, or on sequences that ``keep`` (seq_id) names."""
-    named = hits.join(F.broadcast(keep.select(F.col("seq_id").alias("_keep")).distinct()), F.col("query_id") == F.col("_keep"), "left")
+    named = hits.join(lookup(keep.select(F.col("seq_id").alias("_keep")).distinct()), F.col("query_id") == F.col("_keep"), "left")
     return named.where(F.col("_keep").isNotNull() | (F.col("query_id") == F.col("target_id"))).drop("_keep")

@@ -95,7 +95,7 @@ def paf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     known: dict = {}
     names = domain.view(spark, sf_dir, "seqs", known)
     q, t = (names.select(F.col("seq_id").alias(f"{s}_id"), F.col("name").alias(s), F.col("length").alias(f"{s[0]}len")) for s in ("query", "target"))
-    rows = alignments(spark, sf_dir, known).join(F.broadcast(q), "query_id").join(F.broadcast(t), "target_id")
+    rows = alignments(spark, sf_dir, known).join(session.lookup(q), "query_id").join(session.lookup(t), "target_id")
     path = _folder(spark)
     writers.write(writers.paf_lines(rows), path)
     back = text_formats.read_paf(spark, path)

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -38,3 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(own)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a lookup table may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A lookup table marked for broadcast if its counted rows allow that; otherwise left to a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
