@@ -235,8 +235,8 @@ def _stars(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, "key long, a long, b long, n int, small boolean, open boolean")
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """The entries of lists with two sets or more, list after list, in each the sets first that meet most others.
+def _lists(postings: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The entries of lists with two sets or more, list after list, in each the sets first that meet most others; and the tables behind them.
 
     A copied original shares its rare shingles with all copies, a copy only those it left unchanged, so the
     original comes to be the centre that its copies are compared with.
@@ -245,7 +245,7 @@ def _lists(postings: DataFrame) -> DataFrame:
     shared.released(postings.sparkSession)
     met = shared.written(held.groupBy("set_id").agg(F.sum("times").alias("met")), "met")
     ranked = held.join(met, "set_id").repartition("key").sortWithinPartitions("key", F.desc("met"), "n", "set_id")
-    return ranked.select("key", "n", "set_id", "small", "times")
+    return ranked.select("key", "n", "set_id", "small", "times"), [held, met]
 
 
 def _bounded(pairs: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,7 +319,10 @@ def linked(docs: DataFrame) -> DataFrame:
     counts = sets.groupBy(F.least("n", F.lit(MOST_BOUNDARY + 1)).alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).collect()
     small = {r["n"]: r["sets"] for r in counts if 4 <= r["n"] <= MOST_BOUNDARY}
     light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), repeated / max(1, sum(r["shingles"] for r in counts)))
-    stars = shared.written(_stars(_lists(_postings(docs, salt, frequent, light))), "stars")
+    lists, behind = _lists(_postings(docs, salt, frequent, light))
+    stars = shared.written(_stars(lists), "stars")
+    shared.dropped(*behind)
+    del lists, behind
     shared.released(docs.sparkSession)
     first = stars.where("a <> b").select("a", "b").distinct()
     compared = _compared(first, docs, digests, sets)

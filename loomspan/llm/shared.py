@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_kept: dict[str, DataFrame] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,18 +32,28 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, rows_per_group: int | None = None) -> DataFrame:
     """``df``, written once to the shared folder and read from there: its lineage ends at the files."""
     path = f"{folder(df.sparkSession)}/loomspan/{name}-{uuid.uuid4().hex}"
+    if not _kept:
+        atexit.register(_tidy)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_to = path
+    _kept[path] = back
     return back
 
 
+def _tidy() -> None:
+    """At the end of the process its tables go, as far as Spark still runs."""
+    with contextlib.suppress(Exception):
+        dropped(*list(_kept.values()))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing needs any more."""
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _kept.pop(df.written_to, None)
 
 
 def released(spark: SparkSession) -> None:
