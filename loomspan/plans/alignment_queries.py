@@ -218,6 +218,23 @@ QUERIES = {f.__name__: f for f in (
     bidirectional_entries, cigar_identity, interval_merge, interval_subtract, interval_intersect, interval_semi, interval_anti, interval_complement, interval_depth,
     interval_contained, tile_windows, phase_blocks, snapped_regions, refine_regions,
 )}
+def _refine_pass(k: int, lefts: str, rights: str, before: str) -> str:
+    """Common table expressions of one pass of the refinement: candidates, their support, the best of each region."""
+    return f"""
+    n{k} AS (SELECT row_number() OVER () AS region_id, own, l, r, seq_id, greatest(0, o_start - l) AS r_start, least(1000000, o_end + r) AS r_end FROM (
+        SELECT g.region_id AS own, g.seq_id, g.r_start AS o_start, g.r_end AS o_end, unnest({lefts}) AS l, r FROM (SELECT g.*, {before} unnest({rights}) AS r FROM {'regions g' if k == 1 else f'regions g JOIN b{k - 1} b ON b.own = g.region_id'}) g)),
+    h{k} AS ({hits_sql(f'n{k}')}),
+    s{k} AS (SELECT region_id, query_id, CASE WHEN q_first <= q_last THEN '+' ELSE '-' END AS strand, t_first, t_last FROM h{k}),
+    m{k} AS ({merge_sql(f's{k}', 'region_id, query_id, strand', 't_first', 't_last', 1000)}),
+    p{k} AS (SELECT n.region_id, count(DISTINCT split_part(q.name, '#', 1) || '#' || split_part(q.name, '#', 2)) AS support FROM m{k} m JOIN n{k} n ON n.region_id = m.region_id JOIN seqs q ON q.seq_id = m.query_id
+        WHERE m.query_id <> n.seq_id AND t_first <= n.r_start + least(100, n.r_end - n.r_start) AND t_last >= n.r_end - least(100, n.r_end - n.r_start) GROUP BY n.region_id),
+    b{k} AS (SELECT own, seq_id, r_start, r_end, l, r, support FROM (SELECT n.*, coalesce(p.support, 0) AS support,
+        row_number() OVER (PARTITION BY own ORDER BY coalesce(p.support, 0) DESC, l + r, greatest(l, r), r_end - r_start, l) AS rank FROM n{k} n LEFT JOIN p{k} p ON p.region_id = n.region_id) WHERE rank = 1)"""
+
+
+_REFINE = "WITH " + ",".join((
+    _refine_pass(1, "[0, 200, 400]", "[0]", ""), _refine_pass(2, "[g.bl]", "[0, 200, 400]", "b.l AS bl,"), _refine_pass(3, "[0, 200, 400]", "[b.r]", ""),
+)).lstrip() + " SELECT own AS region_id, seq_id, r_start::INT AS r_start, r_end::INT AS r_end, l::INT AS \"left\", r::INT AS \"right\", support FROM b3"
 _LEVEL2 = f"""
     WITH l0 AS (SELECT * FROM hits),
     nw AS (SELECT region_id, query_id AS seq_id, least(q_first, q_last) AS start, greatest(q_first, q_last) AS stop FROM l0 WHERE query_id <> target_id),
@@ -232,6 +249,7 @@ _LEVEL2 = f"""
     SELECT region_id, 0 AS depth, query_id, q_first, q_last, target_id, t_first, t_last FROM l0
     UNION ALL SELECT fi.own, 1, h1.query_id, q_first, q_last, target_id, t_first, t_last FROM h1 JOIN fi ON fi.region_id = h1.region_id"""
 SQL = {
+    "refine_regions": duck(_REFINE, "regions", "ent", "eops", "seqs"),
     "transitive_depth2": duck(_LEVEL2, "hits", "regions", "ent", "eops"),
     "query_hits": duck("SELECT * FROM hits", "hits"),
     "query_unidirectional": duck("SELECT region_id, query_id, q_first, q_last, target_id, t_first, t_last FROM hits0 WHERE NOT rev UNION ALL SELECT region_id, seq_id, r_start, r_end, seq_id, r_start, r_end FROM regions", "hits0"),

@@ -309,6 +309,9 @@ SQL = {
               FROM dots a JOIN dots b ON a.locus_id = b.locus_id AND a.cand_id <= b.cand_id LEFT JOIN g ON g.locus_id = a.locus_id AND g.i = a.cand_id AND g.j = b.cand_id),
         r AS (SELECT *, least(1.0, dot / (sqrt(g2) * sqrt(x2))) AS s FROM c)
         SELECT locus_id, c1, c2, dot, round(s, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY round(s, 12) DESC, dot DESC, c1, c2) AS rank FROM r) WHERE rank = 1""", "dots", "cand_features"),
+    "lis_lengths": duck("""
+        WITH RECURSIVE c AS (SELECT path_id, idx, seg_id, 1 AS n FROM steps UNION SELECT c.path_id, s.idx, s.seg_id, c.n + 1 FROM c JOIN steps s ON s.path_id = c.path_id AND s.idx > c.idx AND s.seg_id > c.seg_id)
+        SELECT path_id, max(n)::INT AS lis FROM c GROUP BY path_id""", "steps"),
     "similarity_pairs": _similarity("name"),
     "similarity_groups": _similarity("split_part(name, '#', 1)"),
 }
