@@ -120,3 +120,24 @@ def contained_dropped(df: DataFrame, keys: Sequence[str], start: str, stop: str)
 def covers(start: Column, stop: Column, r_start: Column, r_end: Column, span: int) -> Column:
     """Whether a range reaches both ends of another, to ``span`` bases inside it."""
     return (start <= r_start + F.least(F.lit(span), r_end - r_start)) & (stop >= r_end - F.least(F.lit(span), r_end - r_start)) & (start < stop)
+
+
+def merge_either(df: DataFrame, keys: Sequence[str], a: tuple[str, str], b: tuple[str, str], distance: int) -> DataFrame:
+    """Paired ranges joined one after another where they follow within ``distance`` on either side; ``n_merged`` counts them.
+
+    The order is that of both ranges; each range is compared with what has been joined so far, so this is a
+    fold over a key's ranges inside one row (of a key, not of the table).
+    """
+    kind = "struct<" + ",".join(f"{c}:bigint" for c in ("a0", "a1", "b0", "b1", "n")) + ">"
+    item = F.struct(F.col(a[0]).cast("long").alias("a0"), F.col(a[1]).cast("long").alias("a1"), F.col(b[0]).cast("long").alias("b0"), F.col(b[1]).cast("long").alias("b1"), F.lit(1).cast("long").alias("n"))
+
+    def near(x: Column, y: Column, s: str) -> Column:
+        return F.least(F.abs(y[f"{s}0"] - x[f"{s}1"]), F.abs(x[f"{s}0"] - y[f"{s}1"])) <= distance
+
+    def add(done: Column, y: Column) -> Column:
+        x = F.element_at(done, -1)
+        joined = F.struct(*(f(x[c], y[c]).alias(c) for c, f in (("a0", F.least), ("a1", F.greatest), ("b0", F.least), ("b1", F.greatest))), (x["n"] + y["n"]).alias("n"))
+        return F.when((F.size(done) > 0) & (near(x, y, "a") | near(x, y, "b")), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(y)))
+
+    folded = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all")).select(*keys, F.explode(F.aggregate("_all", F.array().cast(f"array<{kind}>"), add)).alias("m"))
+    return folded.select(*keys, F.col("m.a0").alias(a[0]), F.col("m.a1").alias(a[1]), F.col("m.b0").alias(b[0]), F.col("m.b1").alias(b[1]), F.col("m.n").alias("n_merged"))

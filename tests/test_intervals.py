@@ -54,3 +54,10 @@ def test_tile_folds_short_tail(spark):
     df = spark.createDataFrame([(0, 0, 250), (1, 5, 30)], SCHEMA)
     assert sorted((r["k"], r["s"], r["e"]) for r in intervals.tile(df, "s", "e", 100, True).collect()) == [(0, 0, 100), (0, 100, 250), (1, 5, 30)]
     assert sorted((r["s"], r["e"]) for r in intervals.tile(df.where("k = 0"), "s", "e", 100).collect()) == [(0, 100), (100, 200), (200, 250)]
+
+
+def test_merge_either_side(spark):
+    rows = [(1, 0, 10, 100, 110), (1, 12, 20, 500, 510), (1, 900, 910, 512, 520), (1, 2000, 2010, 5000, 5010), (2, 0, 5, 0, 5)]
+    df = spark.createDataFrame(rows, "k int, qs int, qe int, ts int, te int")
+    got = sorted(tuple(r) for r in intervals.merge_either(df, ["k"], ("qs", "qe"), ("ts", "te"), 3).collect())
+    assert got == [(1, 0, 910, 100, 520, 3), (1, 2000, 2010, 5000, 5010, 1), (2, 0, 5, 0, 5, 1)]
