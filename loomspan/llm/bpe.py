@@ -34,7 +34,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 800_000
 #: Bytes of text handled at once; one longer text is still handled whole.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes up to which a word is merged in a plain list.
 SHORT_WORD = 100
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
