@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +63,37 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` has each row of its Parquet files once at most, picked by nothing but the row itself."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if "_metadata" in docs.columns or not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    with contextlib.suppress(AnalysisException):
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return True
+    return False
+
+
 def row_ids(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """Each row's number in its file scan: the same in every scan of the same files."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """``docs`` with a number for each row, which stays the row's however often and on whatever cores it is read.
+
+    Rows of Parquet files have their file's number and their position in it; other rows are numbered once and written.
+    A number taken anew in each scan would follow how the scan is split, and so the cores registered at the time.
+    """
+    if not _rows_of_files(docs):
+        return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    long = "_" * (1 + max(map(len, docs.columns)))  # no column has such a name
+    path, file, row = f"{long}path", f"{long}file", f"{long}row"
+    # Paths are URL-encoded, so none has a line break.
+    files = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(paths)), "\n")).alias(file, path))
+    placed = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    number = F.shiftleft(F.col(file).cast("long"), 40) + F.col(row)
+    return placed.join(F.broadcast(files), path).select(*(number.alias(c) if c == name else F.col(f"`{c}`") for c in dict.fromkeys([*docs.columns, name])))
 
 
 def hash128(*parts: Column) -> tuple[Column, Column]:

@@ -129,6 +129,32 @@ def test_bitmaps_never_overstate():
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
 
 
+def scans(spark, df):
+    """``df`` as read with small and with large splits."""
+    out = []
+    for most in ("2k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        out.append((df.select("*").rdd.getNumPartitions(), sorted(map(tuple, df.select("_rid", "text").collect()))))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    return out
+
+
+def test_row_ids_outlast_other_splits(spark, tmp_path):
+    path = str(tmp_path / "a b\u00e9.parquet")
+    made = spark.range(4000).select(F.col("id").alias("doc_id"), F.format_string("t%d", "id").alias("text"), F.lit("own").alias("_row"))
+    made.repartition(5).write.option("parquet.block.size", "4096").parquet(path)
+    read = spark.read.parquet(path)
+    half = read.where("doc_id % 2 = 0")
+    for docs in (read, half, read.unionByName(read), read.withColumn("_metadata", F.lit(1)), made.repartition(3), read.limit(0)):
+        (few, a), (many, b) = scans(spark, shared.row_ids(docs))
+        n = docs.count()
+        assert a == b and len({r for r, _ in a}) == len(a) == n and shared.row_ids(docs).columns == [*docs.columns, "_rid"]
+        assert few != many or not n
+    assert shared.row_ids(read.withColumn("_rid", F.lit("own"))).select(F.count_distinct("_rid")).first()[0] == 4000
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in corpus(11, 60)]
