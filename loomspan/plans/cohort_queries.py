@@ -78,7 +78,7 @@ def unused_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that no finished order has."""
     known: dict = {}
     done = domain.view(spark, sf_dir, "orders", known).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path_id"))
-    steps = domain.view(spark, sf_dir, "steps", known).join(done, "path_id", "left_semi").where("idx = 0")
+    steps = domain.view(spark, sf_dir, "steps", known).join(done, "path_id", "left_semi")
     return lace.unused_segments(domain.view(spark, sf_dir, "segments", known), steps).select("seg_id", "len")
 
 

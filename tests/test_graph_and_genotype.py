@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import sequences
 from loomspan.operators import genotype, graph, lace, partition, similarity, syncmer
+from loomspan.plans import cohort_queries
 from loomspan.sources import text_formats, writers
 
 
@@ -116,3 +117,17 @@ def test_similarity_ratios(spark):
     assert rows[("a#1", "b#1")]["shared"] == 1
     axes = similarity.ordination(similarity.similarities(msa)).collect()
     assert {r["pc"] for r in axes} <= {1, 2} and len(axes) >= 3
+
+
+def orders(spark, folder, paths):
+    """Tables of orders (key, status and parts) and of parts 1 to 9."""
+    spark.createDataFrame([(k, status) for k, status, _ in paths], "o_orderkey long, o_orderstatus string").write.parquet(f"{folder}/orders.parquet")
+    lines = [(k, i, p, "N") for k, _, parts in paths for i, p in enumerate(parts, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(p, 30 + p) for p in range(1, 10)], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_unused_segments_looks_at_all_steps(spark, tmp_path):
+    folder = orders(spark, tmp_path, [(1, "F", [1, 2, 3]), (2, "F", [4, 1]), (3, "O", [5, 6, 1]), (4, "P", [7])])
+    assert {r["seg_id"] for r in cohort_queries.unused_segments(spark, folder).collect()} == {5, 6, 7, 8, 9}
