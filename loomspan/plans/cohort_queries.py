@@ -18,36 +18,36 @@ from loomspan.streaming import counts
 K, S = 15, 6
 
 
-def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The walks of all paths, and those of pending orders, which are the queries."""
+def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walks of all paths."""
     known: dict = {}
     segments, steps = domain.view(spark, sf_dir, "segments", known), domain.view(spark, sf_dir, "steps", known)
-    walk = syncmer.extract(graph.spellings(segments, steps).withColumnRenamed("spelling", "seq"), K, S)
-    pending = domain.view(spark, sf_dir, "orders", known).where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("path_id"))
-    return walk, walk.join(pending, "path_id", "left_semi")
+    return syncmer.extract(graph.spellings(segments, steps).withColumnRenamed("spelling", "seq"), K, S)
 
 
 def syncmer_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walks(spark, sf_dir)[0].select("path_id", "step", "pos", "kmer", "orient")
+    return _walks(spark, sf_dir).select("path_id", "step", "pos", "kmer", "orient")
 
 
 def syncmer_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmer.dictionary(_walks(spark, sf_dir)[0])
+    return syncmer.dictionary(_walks(spark, sf_dir))
 
 
 def syncmer_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmer.frequent_nodes(_walks(spark, sf_dir)[0], 0.01, "kmer")
+    return syncmer.frequent_nodes(_walks(spark, sf_dir), 0.01, "kmer")
 
 
 def syncmer_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walk, asked = _walks(spark, sf_dir)
-    found = syncmer.chains(syncmer.anchors(asked, walk), K, 50, 2)
+    """Every path's chains with every other."""
+    walk = _walks(spark, sf_dir)
+    found = syncmer.chains(syncmer.anchors(walk, walk), K, 50, 2)
     return found.select("q_id", "t_id", "strand", "q_start", "q_end", "t_start", "t_end", "n_anchors")
 
 
 def syncmer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walk, asked = _walks(spark, sf_dir)
-    return syncmer.walk_matches(asked, walk)
+    """Every path's matches with every other."""
+    walk = _walks(spark, sf_dir)
+    return syncmer.walk_matches(walk, walk)
 
 
 def partition_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

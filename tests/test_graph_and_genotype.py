@@ -131,3 +131,36 @@ def orders(spark, folder, paths):
 def test_unused_segments_looks_at_all_steps(spark, tmp_path):
     folder = orders(spark, tmp_path, [(1, "F", [1, 2, 3]), (2, "F", [4, 1]), (3, "O", [5, 6, 1]), (4, "P", [7])])
     assert {r["seg_id"] for r in cohort_queries.unused_segments(spark, folder).collect()} == {5, 6, 7, 8, 9}
+
+
+def test_every_path_is_a_query(spark, tmp_path):
+    folder = orders(spark, tmp_path, [(1, "F", [9, 8, 7]), (2, "P", [9, 8, 7]), (3, "O", [4, 8, 7])])
+    walk = cohort_queries.syncmer_walks(spark, folder).collect()
+    at = {k: {(r["kmer"], r["orient"], r["pos"]) for r in walk if r["path_id"] == k} for k in (1, 2, 3)}
+    assert len(at[1]) > 1 and at[1] == at[2]
+    both = {(p, q) for p in at for q in at if p != q}
+    for query in (cohort_queries.syncmer_chains, cohort_queries.syncmer_matches):
+        assert {(r["q_id"], r["t_id"]) for r in query(spark, folder).collect()} == both
+    runs = plain_runs(walk)
+    got = [tuple(r[c] for c in ("q_id", "t_id", "q_step", "t_step", "steps", "q_pos")) for r in cohort_queries.syncmer_matches(spark, folder).collect()]
+    assert sorted(got) == sorted(runs)
+
+
+def plain_runs(walk):
+    """Maximal runs of two steps or more that two walks share in one direction with equal distances."""
+    paths = {}
+    for r in sorted(walk, key=lambda r: r["step"]):
+        paths.setdefault(r["path_id"], []).append((r["kmer"], r["orient"], r["pos"]))
+    out = []
+    for p, x in paths.items():
+        for q, y in paths.items():
+            same = lambda i, j: 0 <= i < len(x) and 0 <= j < len(y) and x[i][:2] == y[j][:2]
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    follows = lambda a, b: same(a, b) and y[b][2] - x[a][2] == y[j][2] - x[i][2]
+                    if p != q and same(i, j) and not follows(i - 1, j - 1):
+                        n = 1
+                        while follows(i + n, j + n):
+                            n += 1
+                        out += [(p, q, i, j, n, x[i][2])] if n > 1 else []
+    return out
