@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import shared
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 800_000
 #: Bytes of text handled at once; one longer text is still handled whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes up to which a word is merged in a plain list.
 SHORT_WORD = 100
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -375,7 +377,7 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", path: st
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), lists], [*names, ids])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return shared.mapped(docs.select(*names), run, schema)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None) -> DataFrame:
@@ -391,7 +393,7 @@ def decode_ids(rows: DataFrame, ids: str = "ids", text: str = "text", path: str
             found = [x.decode() if ok else None for x, ok in zip(decode(v, values.astype(np.int64), at), column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.string())], [*names, text])
 
-    return rows.select(*names).mapInArrow(run, schema)
+    return shared.mapped(rows.select(*names), run, schema)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -408,7 +410,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at)), pa.array(listed), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shared.mapped(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
@@ -424,4 +426,4 @@ def encoded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | No
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), lists, pa.array(np.diff(at)), pa.array(same, pa.bool_())], [*keep, "ids", "n_tokens", "round_trip"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return shared.mapped(docs.select(*keep, F.col("text").cast("string").alias("text")), run, schema)

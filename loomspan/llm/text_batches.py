@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
 _lower: np.ndarray | None = None
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose worker gives its free memory back to the system now and then and when the task ends."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for i, out in enumerate(run(batches)):
+                yield out
+                del out
+                if i % 8 == 7:
+                    release()
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep it otherwise, and workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def code_points(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of concatenated texts, and each text's bounds in them."""
     points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)

@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None) ->
         for x in np.array_split(at, max(1, len(at) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(seen[0][x]), pa.array(seen[1][x])], ["bucket", "n0", "n1"])
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 4")
+    counts = shared.mapped(sample.select("text", "toxic"), count, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 4")
     r0, r1 = (F.col(f"n{c}") / sizes[c] for c in (0, 1))
     whole = (F.col("n0") + F.col("n1")) / (sizes[0] + sizes[1])
     differ = F.abs(r1 - r0) / F.sqrt(whole * F.greatest(F.lit(1e-4), 1 - whole) + 1e-6)
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None) ->
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((key & ((1 << 20) - 1)).astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), batch.column("apart").slice(a, b - a), *lists], ["toxic", "apart", "features", "values"])
 
-    rows = sample.mapInArrow(vectors, "toxic int, apart boolean, features array<int>, values array<float>").toArrow().combine_chunks()
+    rows = shared.mapped(sample, vectors, "toxic int, apart boolean, features array<int>, values array<float>").toArrow().combine_chunks()
     feature, value = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("features", "values"))
     size = rows.column("features").combine_chunks().value_lengths().to_numpy()
     y, apart = rows.column("toxic").to_numpy().astype(float), rows.column("apart").to_numpy().astype(bool)
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
             for a, b, data, offsets in bpe.text_slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(held.value.scores(data, offsets))], [*names, score])
 
-    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema)
+    return shared.mapped(docs.select(*(f"`{c}`" for c in names)), run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
