@@ -4,10 +4,11 @@ Every three consecutive lines of a text are hashed to 128 bits; windows that occ
 found globally, and of each all but the first occurrence (smallest ``doc_id``, then row, then line)
 are struck out.  Lines that struck windows cover go, runs of them merged into intervals; the others stay.
 
-A first pass counts windows with partial aggregation, so a window shared by a third of all documents
-costs one row for each task.  Repeated windows are few and are written to the shared folder; the join
-that finds the later occurrences then has plain shuffles on both sides, which Spark splits where a
-window is hot.  Whole texts are shuffled once, to meet their intervals, and nothing else carries text.
+A first pass counts windows and takes the least ``doc_id`` of each by partial hash aggregation, so a window
+shared by a third of all documents costs one row for each task.  Repeated windows are few and are written to
+the shared folder; the join that finds their occurrences has plain shuffles on both sides, which Spark splits
+where a window is hot.  Which occurrence is first within the least ``doc_id`` is then a second such aggregation
+over row and line numbers, packed into one decimal.  Whole texts are shuffled once, to meet their intervals, and nothing else carries text.
 
 Defined cases: lines are split at ``\\n``; a text of fewer than three lines has no window and stays whole;
 windows of three blank lines don't count; a null or empty text stays as it is; a text whose lines all go
@@ -31,7 +32,7 @@ def _lines(text: str) -> Column:
 
 def windows(docs: DataFrame) -> DataFrame:
     """_rid, doc_id, pos and the two hashes of every window that has a word."""
-    lines = docs.select("_rid", "doc_id", _lines("text").alias("lines"))
+    lines = docs.select("_rid", "doc_id", _lines("text").alias("lines"))  # of rows with their numbers
     triples = F.arrays_zip(
         F.slice("lines", 1, F.size("lines") - 2).alias("a"),
         F.slice("lines", 2, F.size("lines") - 2).alias("b"),
@@ -47,28 +48,36 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def struck_intervals(found: DataFrame) -> DataFrame:
     """For each row with struck windows, its covered line intervals [from, to), merged and in order."""
-    place = F.struct("doc_id", "_rid", "pos")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    repeated = shared.written(firsts, "windows")
-    later = found.join(repeated, ["h1", "h2"]).where(place != F.col("first")).select("_rid", "pos")
+    nulls = F.count("*") - F.count("doc_id")
+    counted = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), nulls.alias("nulls"), F.min("doc_id").alias("least"))
+    repeated = counted.where("n > 1").select("h1", "h2", F.when(F.col("nulls") == 0, F.col("least")).alias("first_doc"))
+    met = shared.written(found.join(repeated, ["h1", "h2"]), "windows")
+    # Row numbers are below 2^63 and lines below 2^31, so both fit a decimal, which hash aggregation can hold.
+    place = F.col("_rid").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    of_first = F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    firsts = met.where(of_first).groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    later = met.where(~of_first).select("_rid", "pos").unionByName(met.where(of_first).join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("_rid", "pos"))
     order = Window.partitionBy("_rid").orderBy("pos")
     gap = F.col("pos") > F.coalesce(F.lag("pos").over(order) + WINDOW, F.lit(-1))
     runs = later.withColumn("run", F.sum(gap.cast("int")).over(order)).groupBy("_rid", "run").agg(F.min("pos").alias("from"), (F.max("pos") + WINDOW).alias("to"))
-    return runs.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_struck"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts that are left, and ``n_lines`` and ``n_removed``."""
-    numbered = shared.row_ids(docs)
-    struck = struck_intervals(windows(numbered))
-    joined = numbered.join(struck, "_rid", "left").withColumn("_lines", _lines("text"))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_struck", lambda s: s["to"]))
-    starts = F.concat(F.transform("_struck", lambda s: s["from"]), F.array(F.size("_lines")))
-    kept = F.flatten(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: F.slice("_lines", g["a"] + 1, g["b"] - g["a"])))
-    removed = F.aggregate("_struck", F.lit(0), lambda n, s: n + s["to"] - s["from"])
+    return runs.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("struck"))
+
+
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with the texts that are left and, with ``counts``, ``n_lines`` and ``n_removed`` (in place of columns of these names)."""
+    numbered = shared.numbered(docs)
+    struck = struck_intervals(windows(numbered.select("_rid", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))))
+    joined = numbered.join(struck, "_rid", "left").withColumn("lines", _lines("doc.text"))
+    ends = F.concat(F.array(F.lit(0)), F.transform("struck", lambda s: s["to"]))
+    starts = F.concat(F.transform("struck", lambda s: s["from"]), F.array(F.size("lines")))
+    kept = F.flatten(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: F.slice("lines", g["a"] + 1, g["b"] - g["a"])))
+    removed = F.aggregate("struck", F.lit(0), lambda n, s: n + s["to"] - s["from"])
+    left = F.when(F.col("struck").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
+    if not counts:
+        return joined.select(*shared.fields(docs, text=left))
     return joined.select(
-        *(F.when(F.col("_struck").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        *shared.fields(docs.drop("n_lines", "n_removed"), text=left),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
 
