@@ -4,14 +4,16 @@ Documents of one set are collapsed first (J = 1).  Of the distinct sets, *light*
 size, list every 2-subset of a prefix of their shingles; *heavy* ones scan inverted lists of single prefix
 shingles, in which the light sets that can reach a heavy one stand too.  Prefixes are those of the prefix
 filter (two sets that reach the threshold share k shingles of their prefixes of size
-``n - ceil(0.8 n) + k``), in one global order: rare shingles by hash, then frequent ones by hash.  Which
-shingles count as frequent changes the work, never the result.  The boundary is the size at which the
+``n - ceil(0.8 n) + k``), in one global order: rare shingles by hash, then frequent ones by hash.  Frequent
+are those that the prefixes by hash alone share most: each task counts them over the distinct sets that it reads,
+and the counts of all tasks are added.  Which shingles count as frequent changes the work, never the result.  The boundary is the size at which the
 measured numbers of subsets and of list entries to be met cost least together.
 
 Lists don't emit all their pairs.  Each list's members of like size are compared with one of them (a
 star, whose centre is the set that meets most others); the links found are closed to components.  Then only pairs of one list that are in different
 components are compared too, less those that sizes, positions, bitmaps or the triangle inequality through the
-star's centre rule out; long lists are gone through in blocks.  So each pair that could link is compared or is already connected, and a group
+star's centre rule out; long lists are gone through in blocks, those of a list that has many outside its
+largest component by several tasks.  So each pair that could link is compared or is already connected, and a group
 of copies costs rows in proportion to its size.
 
 Pairs are first held against bitmaps: a set's bitmap has a bit for each shingle or so, turned over by every
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 from loomspan.llm import bpe, components, shared, text_batches
 
 WORDS, PERCENT = 5, 80
-#: Documents of one slice that make a shingle a candidate for frequent, and documents in all; frequent shingles at most.
-SLICE_TIMES, TIMES, MOST_FREQUENT = 3, 12, 500_000
-#: Rows that comparing one candidate costs; entries of a list whose pairs are plainly joined; members of a block.
-COMPARING, SHORT_LIST, BLOCK = 20, 32, 256
+#: Prefix shingles that a task looks at together; sets among them that make a shingle a candidate for frequent, and sets in all; frequent shingles at most.
+WINDOW_KEYS, WINDOW_TIMES, TIMES, MOST_FREQUENT = 4 << 20, 2, 12, 500_000
+#: Rows that comparing one candidate costs; entries of a list that is taken in one row; members of a block; blocks of strays that one task meets with a list.
+COMPARING, SHORT_LIST, BLOCK, STRAY_BLOCKS = 20, 32, 256, 4
 #: Sizes up to which a boundary is looked for; rows up to which chosen row numbers are broadcast.
 MOST_BOUNDARY, BROADCAST_ROWS = 128, 500_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -100,27 +102,65 @@ def _signature(s: np.ndarray, salt: int) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
 
 
+def _prefix(n: int) -> int:
+    """Shingles of a set of n that are looked at first."""
+    return n - int(_needed(n)) + 2
+
+
+class _Counts:
+    """How many distinct sets of a task have each shingle in their prefix by hash, a window of sets at a time."""
+
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, s: np.ndarray, name: bytes) -> None:
+        if len(s) >= 4 and name not in self.seen:
+            self.seen.add(name)
+            self.parts.append(s[: _prefix(len(s))].copy())
+            self.held += len(self.parts[-1])
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of several sets of the window and their numbers; a new window begins."""
+        each, times = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.__init__()
+        often = times >= WINDOW_TIMES
+        return each[often].view(np.int64), times[often]
+
+
 def _digests(docs: DataFrame, salt: int) -> DataFrame:
-    """_rid, doc_id, n, set_id, check and bitmaps of every row; with some rows, shingles that repeat in its slice and how often."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """_rid, doc_id, n, set_id, check and bitmaps of every row; rows with n = -1 have prefix shingles that repeat in a window of a task, and how often."""
+    kind = docs.schema["doc_id"].dataType
+    names = ["_rid", "doc_id", "n", "set_id", "check", "often", "times", "map", "half"]
+
+    def told(counts: _Counts, doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        each, times = counts.repeated()
+        for part in np.array_split(np.arange(len(each)), -(-len(each) // 50_000)) if len(each) else ():
+            lists = [pa.array([x[part]], pa.list_(pa.int64())) for x in (each, times)]
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.nulls(1, doc_type), pa.array([-1], pa.int64()), *none[:2], *lists, *none[2:]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, doc_type = _Counts(), None
         for batch in batches:
+            doc_type = batch.column("doc_id").type
             for a, b, data, offsets in bpe.text_slices(batch.column("text")):
                 sets = shingle_sets(data, offsets)
-                ids = np.frombuffer(b"".join(_signature(s, salt) for s in sets), np.int64).reshape(-1, 2)
-                each, times = np.unique(np.concatenate(sets), return_counts=True)
-                often = times >= SLICE_TIMES
-                none = [None] * (b - a - 1)
-                maps = [bitmaps(s) for s in sets]
+                signs = [_signature(s, salt) for s in sets]
+                ids = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
+                for s, sign in zip(sets, signs):
+                    counts.add(s, sign)
+                maps, none = [bitmaps(s) for s in sets], pa.nulls(b - a, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_rid").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
-                     pa.array([each[often].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64())),
-                     *(pa.array([m[i] for m in maps], pa.list_(pa.int64())) for i in (0, 1))],
-                    ["_rid", "doc_id", "n", "set_id", "check", "often", "times", "map", "half"],
-                )
+                    [batch.column("_rid").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), none, none,
+                     *(pa.array([m[i] for m in maps], pa.list_(pa.int64())) for i in (0, 1))], names)
+                if counts.held >= WINDOW_KEYS:
+                    yield from told(counts, doc_type)
+        if counts.held:
+            yield from told(counts, doc_type)
 
-    return docs.select("_rid", "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"_rid long, doc_id {kind}, n long, set_id long, check long, often array<long>, times array<long>, map array<long>, half array<long>")
+    return shared.mapped(docs.select("_rid", "doc_id", F.col("text").cast("string").alias("text")), run, f"_rid long, doc_id {kind.simpleString()}, n long, set_id long, check long, often array<long>, times array<long>, map array<long>, half array<long>")
 
 
 def boundary(sizes: dict[int, int], heavier: int, met: float) -> int:
@@ -189,7 +229,7 @@ def _postings(docs: DataFrame, salt: int, frequent: np.ndarray, light: int) -> D
                         ["key", "n", "set_id", "small"],
                     )
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n int, set_id long, small boolean")
+    return shared.mapped(docs.select(F.col("text").cast("string").alias("text")), run, "key long, n int, set_id long, small boolean")
 
 
 def _stars(postings: DataFrame) -> DataFrame:
@@ -232,7 +272,7 @@ def _stars(postings: DataFrame) -> DataFrame:
             carry = (key[-1], *head, int(centre[-1]), int(centre_n[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(small), pa.array(times >= 3)], ["key", "a", "b", "n", "small", "open"])
 
-    return postings.mapInArrow(run, "key long, a long, b long, n int, small boolean, open boolean")
+    return shared.mapped(postings, run, "key long, a long, b long, n int, small boolean, open boolean")
 
 
 def _lists(postings: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -292,7 +332,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("set_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], ["set_id", "s"])
 
-    whole = shared.written(texts.mapInArrow(run, "set_id long, s array<long>"), "sets")
+    whole = shared.written(shared.mapped(texts, run, "set_id long, s array<long>"), "sets")
     left, right = whole.select(F.col("set_id").alias("a"), F.col("s").alias("_sa")), whole.select(F.col("set_id").alias("b"), F.col("s").alias("_sb"))
     done = shared.written(pairs.join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("_sa", "_sb")).cast("long").alias("shared")), "exact")
     shared.dropped(whole, wanted)
@@ -307,18 +347,23 @@ def linked(docs: DataFrame) -> DataFrame:
     """_rid, doc_id, n_shingles, component_id and _comp (the component's own number; null for empty sets); ``docs`` has _rid, doc_id and text."""
     salt = 0
     while True:
-        digests = shared.written(_digests(docs, salt), "digests")
+        every = shared.written(_digests(docs, salt), "digests")
+        digests = every.where("n >= 0").drop("often", "times")
         sets = shared.written(digests.where("n > 0").groupBy("set_id").agg(F.min("n").alias("n"), F.min("_rid").alias("_rid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("check").alias("_c0"), F.max("check").alias("_c1")), "set_ids")
         if sets.where("_c0 <> _c1").isEmpty():
             break
+        shared.dropped(every, sets)
         salt += 1
-    often = digests.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy(F.col("o.often").alias("shingle")).agg(F.sum("o.times").alias("times")).where(f"times >= {TIMES}")
-    top = often.orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow()
+    often = every.where("n < 0").select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy(F.col("o.often").alias("shingle")).agg(F.sum("o.times").alias("times"))
+    often = shared.written(often, "often")
+    top = often.where(F.col("times") >= TIMES).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow()
     frequent = np.sort(top.column("shingle").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    repeated = float(top.column("times").to_numpy().sum()) if top.num_rows else 0.0
-    counts = sets.groupBy(F.least("n", F.lit(MOST_BOUNDARY + 1)).alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).collect()
+    # Entries that repeat although their shingles don't count as frequent.
+    repeated = often.where(F.col("times") < TIMES).agg(F.sum("times").alias("n")).first()["n"] or 0
+    shared.dropped(often)
+    counts = sets.groupBy(F.least("n", F.lit(MOST_BOUNDARY + 1)).alias("n")).agg(F.count("*").alias("sets"), F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).alias("entries")).collect()
     small = {r["n"]: r["sets"] for r in counts if 4 <= r["n"] <= MOST_BOUNDARY}
-    light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), repeated / max(1, sum(r["shingles"] for r in counts)))
+    light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), repeated / max(1, sum(r["entries"] for r in counts)))
     lists, behind = _lists(_postings(docs, salt, frequent, light))
     stars = shared.written(_stars(lists), "stars")
     shared.dropped(*behind)
@@ -361,34 +406,51 @@ def _rest(stars: DataFrame, compared: DataFrame, comps: DataFrame, digests: Data
 def _pairs_of_short_lists(left: DataFrame, compared: DataFrame) -> DataFrame:
     """p and q of the pairs in lists of bounded length, less those that sizes, positions or distances to the centre rule out."""
     apart = compared.select("a", F.col("b").alias("s"), "least", "most")
-    known = left.join(apart, ["a", "s"], "left").select("key", "a", "s", "n", "small", "comp", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(0.0)).alias("most"))
-    known = shared.written(known, "short")
-    x, y = (known.select(*(F.col(c).alias(f"{k}_{c}") for c in known.columns)) for k in ("x", "y"))
+    known = left.join(apart, ["a", "s"], "left").select("key", F.struct("a", "s", F.col("n").cast("long").alias("n"), F.col("small").cast("long").alias("small"), "comp", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(0.0)).alias("most")).alias("m"))
+    lists = known.groupBy("key").agg(F.collect_list("m").alias("m")).select("m")
     reach = (100 - PERCENT) / 100 + 1e-9
-    may = (
-        (F.col("x_comp") != F.col("y_comp"))
-        & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_s") < F.col("y_s"))))
-        & (100 * F.col("x_n") >= PERCENT * F.col("y_n"))
-        & (F.col("x_small") | ((F.col("x_n") == F.col("y_n")) & F.col("y_small")))
-        & ((F.col("x_a") != F.col("y_a")) | ((F.col("x_least") - F.col("y_most") <= reach) & (F.col("y_least") - F.col("x_most") <= reach)))
-    )
-    return x.join(y, (F.col("x_key") == F.col("y_key")) & may).select(F.least("x_s", "y_s").alias("p"), F.greatest("x_s", "y_s").alias("q"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("m")
+            size, flat = column.value_lengths().to_numpy(), column.flatten()
+            c = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+            begin, p, q = np.cumsum(size) - size, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in np.unique(size[size > 1]):
+                i, j = np.triu_indices(k, 1)
+                own = begin[size == k][:, None]
+                i, j = (own + i).ravel(), (own + j).ravel()
+                # The smaller set first, of equal sizes that of the lesser name.
+                turn = (c["n"][i] > c["n"][j]) | ((c["n"][i] == c["n"][j]) & (c["s"][i] > c["s"][j]))
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                may = (c["s"][i] != c["s"][j]) & (c["comp"][i] != c["comp"][j]) & (100 * c["n"][i] >= PERCENT * c["n"][j])
+                may &= (c["small"][i] == 1) | ((c["n"][i] == c["n"][j]) & (c["small"][j] == 1))
+                may &= (c["a"][i] != c["a"][j]) | ((c["least"][i] - c["most"][j] <= reach) & (c["least"][j] - c["most"][i] <= reach))
+                p.append(np.minimum(c["s"][i[may]], c["s"][j[may]]))
+                q.append(np.maximum(c["s"][i[may]], c["s"][j[may]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (p, q)], ["p", "q"])
+
+    return shared.mapped(lists, run, "p long, q long")
 
 
 def _pairs_of_long_lists(left: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
     """p and q of the pairs that bitmaps let link.
 
     A list's members go into blocks, and those outside its largest component into blocks of their own; each
-    pair of blocks is one row, compared in numpy.  A pair is given only by the least key that it shares.
+    pair of blocks is one row, compared in numpy.  The blocks of strays of a list are dealt over tasks, a few to
+    each, which meet all blocks of the list.  A pair is given only by the least key that it shares.
     """
-    sized = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"))
+    sized = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), (F.sum("n") - F.max("n")).alias("strays"))
     keys = left.groupBy("s").agg(F.first("comp").alias("comp"), F.array_sort(F.collect_list("key")).alias("keys"))
     marks = shared.written(
         keys.join(sets.select(F.col("set_id").alias("s"), "_rid"), "s").join(digests.select("_rid", "n", "map", "half"), "_rid").select("s", F.struct("s", "comp", "n", "map", "half", "keys").alias("m")), "blocks")
     entries = left.select("key", "s", "size").join(marks, "s").join(sized, "key")
+    stray_blocks = F.ceil(F.col("strays") / BLOCK)
+    salts = F.ceil(stray_blocks / STRAY_BLOCKS).cast("int")
     block = F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    all_ = entries.groupBy("key", block).agg(F.collect_list("m").alias("x")).drop("block")
-    strays = entries.where(F.col("m.comp") != F.col("main")).groupBy("key", block).agg(F.collect_list("m").alias("y")).drop("block")
+    stray_block = F.pmod(F.xxhash64("s"), stray_blocks)
+    all_ = entries.groupBy("key", block).agg(F.collect_list("m").alias("x"), F.first(salts).alias("salts")).select("key", "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    strays = entries.where(F.col("m.comp") != F.col("main")).groupBy("key", stray_block.alias("block"), F.pmod(stray_block, salts.cast("long")).cast("int").alias("salt")).agg(F.collect_list("m").alias("y")).drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,7 +458,7 @@ def _pairs_of_long_lists(left: DataFrame, digests: DataFrame, sets: DataFrame) -
                 found = list(_block_pairs(key, x, y))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["p", "q"])
 
-    return all_.join(strays, "key").mapInArrow(run, "p long, q long")
+    return shared.mapped(all_.join(strays, ["key", "salt"]).select("key", "x", "y"), run, "p long, q long")
 
 
 def _block_pairs(key: int, x: list[dict], y: list[dict]) -> Iterator[tuple[int, int]]:
@@ -421,17 +483,21 @@ def _block_pairs(key: int, x: list[dict], y: list[dict]) -> Iterator[tuple[int,
                     yield min(m["s"], ms[i]["s"]), max(m["s"], ms[i]["s"])
 
 
+def _parts(numbered: DataFrame) -> DataFrame:
+    return numbered.select("_rid", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, then the first."""
-    numbered = shared.row_ids(docs)
-    groups = linked(numbered)
+    numbered = shared.numbered(docs)
+    groups = linked(_parts(numbered))
     first = groups.where("_comp is not null").groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))).alias("first"))
     kept = first.select("first._rid").unionByName(groups.where("_comp is null").select("_rid"))
-    return numbered.join(kept, "_rid", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return numbered.join(kept, "_rid", "left_semi").select(*shared.fields(docs))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return linked(shared.row_ids(docs)).select("doc_id", "n_shingles", "component_id")
+    return linked(_parts(shared.numbered(docs))).select("doc_id", "n_shingles", "component_id")
 
 
 #: The same in DuckDB's SQL.
