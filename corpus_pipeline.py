@@ -21,12 +21,13 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _like(docs, toxicity.scored(docs, model, "_toxic").where(F.col("_toxic") < toxicity.TOXIC))
+    score = shared.free(docs, "_toxic")
+    return _like(docs, toxicity.scored(docs, model, score).where(F.col(score) < toxicity.TOXIC))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go, but for the first occurrence."""
-    return _like(docs, line_dedup.dedup_lines(docs))
+    return _like(docs, line_dedup.dedup_lines(docs, counts=False))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
