@@ -64,3 +64,34 @@ def wrapped(seq: Column, width: int = 80) -> Column:
 def path_name(name: Column, start: Column, end: Column, strand: Column | None = None) -> Column:
     base = F.concat(name, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
     return base if strand is None else F.concat(base, F.lit("("), strand, F.lit(")"))
+
+
+def short_number(value: Column) -> Column:
+    """Seven decimals, less the zeros at the end."""
+    text = F.format_string("%.7f", value.cast("double"))
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+
+
+def subset_keys(name: Column) -> Column:
+    """What a name is matched by, from the most to the least particular: itself, itself without coordinates, sample and haplotype, sample.
+
+    Keys of a list entry without a haplotype stand for its whole sample.
+    """
+    base = F.substring_index(name, ":", 1)
+    s = sample_and_haplotype(base)
+    both = F.when(s["hap"].isNotNull(), F.concat(F.lit("h|"), s["sample"], F.lit("|"), s["hap"]))
+    return F.struct(F.concat(F.lit("n|"), name).alias("name"), F.concat(F.lit("b|"), base).alias("base"), both.alias("hap"), F.concat(F.lit("s|"), s["sample"]).alias("sample"))
+
+
+def cut_at_n(seq: Column, min_run: int) -> Column:
+    """(start, end) of the pieces between runs of N of ``min_run`` or more, as an array."""
+    pieces = F.split(seq, f"[Nn]{{{max(1, min_run)},}}", -1)
+    runs = F.regexp_extract_all(seq, F.lit(f"[Nn]{{{max(1, min_run)},}}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def add(a: Column, p: Column) -> Column:
+        end = a["at"] + F.length(p["piece"])
+        grown = F.concat(a["out"], F.array(F.struct(a["at"].cast("int").alias("start"), end.cast("int").alias("end"))))
+        return F.struct((end + F.coalesce(F.length(p["run"]), F.lit(0))).cast("int").alias("at"), F.when(F.length(p["piece"]) > 0, grown).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(pieces.alias("piece"), runs.alias("run")), start, add, lambda a: a["out"])

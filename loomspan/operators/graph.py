@@ -154,9 +154,10 @@ def spellings(segments: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def path_positions(segments: DataFrame, steps: DataFrame) -> DataFrame:
-    """Each step's [start, end) on its path."""
+    """Each step's [start, end) on its path; ``overlap``, if steps have it, says how many bases one shares with the step before."""
     order = Window.partitionBy("path_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    placed = steps.join(segments.select("seg_id", "len"), "seg_id").withColumn("end", F.sum("len").over(order))
+    own = F.col("len") - F.coalesce("overlap", F.lit(0)) if "overlap" in steps.columns else F.col("len")
+    placed = steps.join(segments.select("seg_id", "len"), "seg_id").withColumn("end", F.sum(own).over(order))
     return placed.select("path_id", "idx", "seg_id", "orient", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
@@ -166,6 +167,92 @@ def chop(segments: DataFrame, most: int) -> DataFrame:
     return pieces.select("seg_id", "piece", F.least(F.lit(most), F.col("len") - F.col("piece") * most).cast("int").alias("len"), F.substr("seq", F.col("piece") * most + 1, F.lit(most)).alias("seq"))
 
 
+def chopped(segments: DataFrame, steps: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph with segments of at most ``most`` bases, pieces named ``segment.piece``, links and steps led through them."""
+    pieces = chop(segments, most)
+    name = F.concat(F.col("seg_id").cast("string"), F.lit("."), F.col("piece").cast("string"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("len") / most).cast("int"))
+    each = steps.join(segments.select("seg_id", n.alias("_n")), "seg_id").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    piece = F.when(F.col("orient") == "-", F.col("_n") - 1 - F.col("_k")).otherwise(F.col("_k"))
+    order = Window.partitionBy("path_id").orderBy("idx", "_k")
+    walked = each.select("path_id", (F.row_number().over(order) - 1).alias("_i"), F.concat(F.col("seg_id").cast("string"), F.lit("."), piece.cast("string")).alias("seg_id"), "orient").withColumnRenamed("_i", "idx")
+    links = neighbours(walked).select(F.col("a").alias("from_id"), F.col("a_orient").alias("from_orient"), F.col("b").alias("to_id"), F.col("b_orient").alias("to_orient")).distinct()
+    return pieces.select(name.alias("seg_id"), "len", "seq"), links, walked
+
+
+def top_links(segments: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """The ``n`` links that jump furthest in segment order: from_id, to_id, jump, rank."""
+    laid = ordered(segments.select("seg_id"), "seg_id")
+    a, b = (laid.select(F.col("seg_id").alias(f"_{k}"), F.col("ord").alias(f"_o{k}")) for k in "ab")
+    met = links.select("from_id", "to_id").distinct().join(a, F.col("from_id") == F.col("_a")).join(b, F.col("to_id") == F.col("_b"))
+    top = met.select("from_id", "to_id", F.abs(F.col("_oa") - F.col("_ob")).alias("jump")).orderBy(F.desc("jump"), "from_id", "to_id").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("jump"), "from_id", "to_id")))
+
+
+def top_depth(segments: DataFrame, steps: DataFrame, n: int) -> DataFrame:
+    """The ``n`` segments with most visits: seg_id, len, visits, paths, rank."""
+    top = node_coverage(segments, steps).orderBy(F.desc("visits"), "seg_id").limit(n)
+    return top.select("seg_id", "len", "visits", "paths", F.row_number().over(Window.orderBy(F.desc("visits"), "seg_id")).alias("rank"))
+
+
+def top_white_space(found: DataFrame, n: int) -> DataFrame:
+    """The ``n`` neighbouring steps with most layout between them, of ``gaps``: path_id, idx, a, b, gap_bp, rank."""
+    order = [F.desc("gap_bp"), F.asc("path_id"), F.asc("idx")]
+    top = found.select("path_id", "idx", "a", "b", "gap_bp").orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def node_spectrum(walk: DataFrame, node: str = "kmer") -> DataFrame:
+    """Of each node: occurrences, carriers (paths that have it), the most that one path has, and the widest distance between two on one path."""
+    per_path = walk.groupBy(node, "path_id").agg(F.count("*").alias("n"), (F.max("pos") - F.min("pos")).alias("span"))
+    return per_path.groupBy(node).agg(F.sum("n").alias("occurrences"), F.count("*").alias("carriers"), F.max("n").alias("most"), F.max("span").alias("span"))
+
+
+def dispersed(spectrum: DataFrame, occurrences: int = 64, per_path: float = 2.0, span: int = 1000) -> DataFrame:
+    """Nodes of a spectrum that glue distant places together: many occurrences, several to a path, far apart."""
+    return spectrum.where((F.col("occurrences") >= occurrences) & (F.col("most") >= 2) & (F.col("occurrences") / F.col("carriers") >= per_path) & (F.col("span") >= span))
+
+
+def masked_nodes(walk: DataFrame, fraction: float = 0.0, most: int | None = None, node: str = "kmer") -> DataFrame:
+    """The ``fraction`` of nodes with most occurrences (ties to the lesser) and those with more than ``most``."""
+    counts = walk.groupBy(node).agg(F.count("*").alias("n"))
+    top = int(counts.count() * fraction)
+    out = counts.orderBy(F.desc("n"), node).limit(top).select(node)
+    return out if most is None else out.unionByName(counts.where(F.col("n") > most).select(node)).distinct()
+
+
+def supported_occurrences(walk: DataFrame, n: int, node: str = "kmer") -> DataFrame:
+    """path_id and step of the occurrences that lie in a run of ``n`` steps, with its distances, which occurs more than once in either reading."""
+    from loomspan.operators import seeds
+
+    runs = seeds.ordered_seeds(walk, n)
+    shared = runs.withColumn("_r", F.least("ahead", "back")).withColumn("_n", F.count("*").over(Window.partitionBy("_r"))).where("_n > 1")
+    return shared.select("path_id", F.explode(F.sequence(F.col("step"), F.col("step") + n - 1)).alias("step")).distinct()
+
+
+def private_occurrences(walk: DataFrame, frequent: DataFrame, supported: DataFrame, node: str = "kmer") -> DataFrame:
+    """path_id and step of the occurrences of frequent nodes that nothing around them supports: they become nodes of their own."""
+    return walk.join(frequent.select(node), node, "left_semi").join(supported, ["path_id", "step"], "left_anti").select("path_id", "step")
+
+
+def smoothable_blocks(segments: DataFrame, steps: DataFrame, most_weight: int, most_jump: int) -> DataFrame:
+    """seg_id, block: neighbouring segments (in order) with about ``most_weight`` bases of path through them each.
+
+    A block ends where its weight is full, by the running total of the weights, or where no path goes from a segment to the next one or over it.
+    """
+    weight = node_coverage(segments, steps).select("seg_id", "len", (F.col("len") * F.col("visits")).alias("w"))
+    laid = ordered(weight, "seg_id", total="w", running="before")
+    spans = gaps(segments, steps).where(F.col("jump") <= most_jump).select("a", "b")
+    order = laid.select(F.col("seg_id").alias("_s"), F.col("ord").alias("_o"))
+    x, y = order.select(F.col("_s").alias("a"), F.col("_o").alias("_oa")), order.select(F.col("_s").alias("b"), F.col("_o").alias("_ob"))
+    ends = spans.join(x, "a").join(y, "b").select(F.explode(F.array(F.struct((F.least("_oa", "_ob") + 1).alias("at"), F.lit(1).alias("d")), F.struct((F.greatest("_oa", "_ob") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).groupBy(F.col("e.at").alias("ord")).agg(F.sum("e.d").alias("d"))
+    opened = laid.join(ends, "ord", "left").fillna(0, ["d"])
+    crossed = ordered(opened, "ord", index="_rank", total="d", running="_open")
+    cut_here = ((F.col("_open") + F.col("d")) <= 0) | (F.floor(F.col("before") / most_weight) != F.floor((F.col("before") - F.col("w")) / most_weight))
+    marked = ordered(crossed.withColumn("_cut", cut_here.cast("int")), "ord", index="_rank2", total="_cut", running="_blocks")
+    return marked.select("seg_id", (F.col("_blocks") + F.col("_cut")).alias("block"))
+
+
 def linear_chains(links: DataFrame, segments: DataFrame) -> DataFrame:
     """seg_id and chain, for unitigs: segments joined where a node's only way out is another's only way in (forward to forward)."""
     plain = links.where("from_orient = '+' and to_orient = '+' and from_id <> to_id").select("from_id", "to_id").distinct()
@@ -225,13 +312,13 @@ def metrics(segments: DataFrame, links: DataFrame, steps: DataFrame, high_fracti
     return out
 
 
-def depth_runs(segments: DataFrame, steps: DataFrame, part: float = 0.8) -> DataFrame:
-    """Runs of neighbouring segments whose depth reaches ``part`` of the largest, half the paths, and 2."""
+def depth_runs(segments: DataFrame, steps: DataFrame, part: float = 0.8, of_paths: float = 0.5) -> DataFrame:
+    """Runs of neighbouring segments whose depth reaches ``part`` of the largest, that share of the paths' number, and 2."""
     coverage = node_coverage(segments, steps)
     placed = cut(ordered(coverage, "seg_id"))
     n_paths = steps.select("path_id").distinct().count()
     deepest = placed.agg(F.max("visits")).first()[0] or 0
-    least = max(-(-deepest * int(part * 100) // 100), n_paths // 2, 2)
+    least = max(-(-deepest * int(part * 100) // 100), int(n_paths * of_paths), 2)
     return _islands(placed.where(F.col("visits") >= least)).agg(F.min("ord").alias("start_order"), F.max("ord").alias("end_order"), F.count("*").alias("nodes"), F.min("visits").alias("min_depth"), F.max("visits").alias("max_depth"), F.sum("visits").alias("sum_depth")).drop("_island")
 
 

@@ -39,18 +39,63 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     return named.join(hit, F.col("_row").eqNullSafe(F.col("_hit")), how).drop("_row")
 
 
-def merge(df: DataFrame, keys: Sequence[str], start: str, stop: str, distance: int = 0, extra: Sequence[Column] = ()) -> DataFrame:
-    """Ranges of a key joined where the next starts within ``distance`` of all before (inclusive); a negative distance only sorts out bounds.
+#: Coordinates of a stretch: windows run within a key's stretches first, and what a stretch takes over from those before it is one row.
+STRETCH = 1 << 16
 
-    ``extra`` are aggregates over each merged range; ``n_merged`` counts its members.
-    """
-    if distance < 0:
-        return df
+
+def _stretched(df: DataFrame, at: str) -> DataFrame:
+    return df.withColumn("_stretch", F.floor(F.col(at) / STRETCH).cast("long"))
+
+
+def _joined(df: DataFrame, keys: Sequence[str], start: str, stop: str, distance: int, n: Column, extra: Sequence[Column] = ()) -> DataFrame:
+    """Ranges of a key joined, in one window of the key."""
     order = Window.partitionBy(*keys).orderBy(start, stop)
     reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col(start) <= reach + distance, 0).otherwise(1)
     grouped = df.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n_merged"), *extra).drop("_run")
+    return grouped.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(stop).alias(stop), n.alias("n_merged"), *extra).drop("_run")
+
+
+def merge(df: DataFrame, keys: Sequence[str], start: str, stop: str, distance: int = 0, extra: Sequence[Column] = ()) -> DataFrame:
+    """Ranges of a key joined where the next starts within ``distance`` of all before (inclusive); a negative distance joins none.
+
+    Ranges are joined within a key's stretches first, so that a sequence's many ranges spread over tasks; what is left of them, disjoint
+    runs, is then joined by key.  ``extra`` are aggregates over each merged range (of keys that are finer than sequences: these are one
+    window each); ``n_merged`` counts its members.
+    """
+    if distance < 0:
+        numbered = df.withColumn("_run", F.monotonically_increasing_id())
+        return numbered.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n_merged"), *extra).drop("_run")
+    if extra:
+        return _joined(df, keys, start, stop, distance, F.count("*"), extra)
+    near = _joined(_stretched(df.select(*keys, start, stop), start), [*keys, "_stretch"], start, stop, distance, F.count("*"))
+    return _joined(near.drop("_stretch"), keys, start, stop, distance, F.sum("n_merged"))
+
+
+def _carried(dealt: DataFrame, keys: Sequence[str], totals: Sequence[Column], window: Sequence[Column]) -> DataFrame:
+    """``dealt`` with columns over the totals of each key's stretches: a row for each stretch, joined back to its rows."""
+    names = [*keys, "_stretch"]
+    per = dealt.groupBy(*names).agg(*totals)
+    held = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)), *window)
+    match = F.lit(True)
+    for i, k in enumerate(names):
+        match &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return dealt.join(held, match).drop(*(f"_k{i}" for i in range(len(names))))
+
+
+def sweep(edges: DataFrame, keys: Sequence[str], start: str, stop: str, depths: Sequence[str]) -> DataFrame:
+    """Pieces between neighbouring bounds of a key (one row for each bound, ``at``) with the sums of the depths' changes up to each."""
+    dealt = _stretched(edges, "at").repartition(*keys, "_stretch")
+    order = Window.partitionBy(*keys).orderBy("_stretch")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    # A stretch's last bound ends at the first bound of the key's next stretch.
+    carried = _carried(
+        dealt, keys, [F.min("at").alias("_first"), *(F.sum(d).alias(f"_t{d}") for d in depths)],
+        [F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(f"_t{d}").over(earlier), F.lit(0)).alias(f"_b{d}") for d in depths)],
+    )
+    own = Window.partitionBy(*keys, "_stretch").orderBy("at")
+    pieces = carried.select(*keys, F.col("at").alias(start), F.coalesce(F.lead("at").over(own), F.col("_next")).alias(stop), *((F.col(f"_b{d}") + F.sum(d).over(own)).alias(d) for d in depths))
+    return pieces.where(F.col(stop).isNotNull())
 
 
 def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, stop: str, width: int = BIN) -> DataFrame:
@@ -63,9 +108,8 @@ def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str,
         return df.where(F.col(start) < F.col(stop)).select(*keys, ends.alias("e")).select(*keys, F.col("e.at").alias("at"), (F.col("e.d") * mine).alias("dl"), (F.col("e.d") * (1 - mine)).alias("dr"))
 
     both = edges(left, 1).unionByName(edges(right, 0)).groupBy(*keys, "at").agg(F.sum("dl").alias("dl"), F.sum("dr").alias("dr"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    depth = both.select(*keys, F.col("at").alias(start), F.lead("at").over(order).alias(stop), F.sum("dl").over(order).alias("_l"), F.sum("dr").over(order).alias("_r"))
-    return merge(depth.where("_l > 0 and _r = 0").select(*keys, start, stop), keys, start, stop).select(*keys, start, stop)
+    depth = sweep(both, keys, start, stop, ("dl", "dr"))
+    return merge(depth.where("dl > 0 and dr = 0").select(*keys, start, stop), keys, start, stop).select(*keys, start, stop)
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, stop: str, width: int = BIN) -> DataFrame:
@@ -104,17 +148,18 @@ def insert(seen: DataFrame, new: DataFrame, keys: Sequence[str], start: str, sto
 def depth_runs(df: DataFrame, keys: Sequence[str], start: str, stop: str) -> DataFrame:
     """Maximal runs of equal coverage: keys, start, stop, depth."""
     ends = df.where(F.col(start) < F.col(stop)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(stop).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    steps = ends.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    runs = steps.select(*keys, F.col("at").alias(start), F.lead("at").over(order).alias(stop), F.sum("d").over(order).alias("depth"))
-    return runs.where(f"depth > 0 and {stop} is not null")
+    steps = ends.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("depth")).where("depth <> 0")
+    return sweep(steps, keys, start, stop, ("depth",)).where("depth > 0")
 
 
 def contained_dropped(df: DataFrame, keys: Sequence[str], start: str, stop: str) -> DataFrame:
     """Ranges that no other range of their key contains; of equal ranges one stays."""
-    order = Window.partitionBy(*keys).orderBy(F.col(start), F.col(stop).desc())
-    reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col(stop) > F.col("_reach"))).drop("_reach")
+    dealt = _stretched(df, start).repartition(*keys, "_stretch")
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = _carried(dealt, keys, [F.max(stop).alias("_m")], [F.max("_m").over(earlier).alias("_before")])
+    own = Window.partitionBy(*keys, "_stretch").orderBy(F.col(start), F.col(stop).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reached = carried.withColumn("_reach", F.greatest("_before", F.max(stop).over(own)))
+    return reached.where(F.col("_reach").isNull() | (F.col(stop) > F.col("_reach"))).drop("_reach", "_before", "_stretch")
 
 
 def covers(start: Column, stop: Column, r_start: Column, r_end: Column, span: int) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.sequences import subset_keys
 from loomspan.operators import cigar, intervals
-from loomspan.session import cut, lookup
+from loomspan.session import cut, dropped, lookup
 
 
 def once(value: Column) -> Column:
@@ -110,24 +111,47 @@ def tracepoints(ops: Column, spacing: int) -> Column:
     return F.aggregate(ops, start, add, end)
 
 
-def transitive(regions: DataFrame, found: DataFrame, max_depth: int = 2, min_output: int = 0, merge_distance: int | None = None) -> DataFrame:
+def transitive(regions: DataFrame, found: DataFrame, max_depth: int = 2, min_output: int = 0, min_follow: int = 0, apart: int = 0, subset: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     """Hits of hits, level by level, to ``max_depth`` (0: until nothing new): region_id, depth and the columns of ``query``.
 
     After each level, the query ranges on other sequences than their target's, merged, less what the
-    region has visited, are the next level's ranges.  Every level is checkpointed, so plans stay small.
+    region has visited, are the next level's ranges.  Every level is written, so plans stay small.
+
+    Pieces shorter than ``min_follow`` count as visited but aren't followed; ranges nearer than ``apart`` to what the region
+    visited before the level are left alone (all ranges of a level are judged together, so their order doesn't matter).  ``subset``
+    (seq_id) names the sequences that hits may be on, besides their target, which prunes what is followed too.  ``mask``
+    (seq_id, r_start, r_end) counts as visited from the start, in every region.
     """
     seeds = regions.select("region_id", "seq_id", "r_start", "r_end")
-    seen = intervals.merge(seeds, ["region_id", "seq_id"], "r_start", "r_end").select("region_id", "seq_id", "r_start", "r_end")
+    keys = ["region_id", "seq_id"]
+    seen = intervals.merge(seeds, keys, "r_start", "r_end").select(*keys, "r_start", "r_end")
+    found = cut(found)
     frontier, levels, depth = seeds, [], 0
     while True:
-        hits = cut(query(frontier, found, with_self=depth == 0).withColumn("depth", F.lit(depth)))
+        level = query(frontier, found, with_self=depth == 0)
+        if subset is not None:
+            level = with_subset(level, None, subset)
+        hits = cut(level.withColumn("depth", F.lit(depth)))
         levels.append(hits)
         depth += 1
         if max_depth and depth >= max_depth:
             break
         new = forward(hits).where("query_id <> target_id").select("region_id", F.col("query_id").alias("seq_id"), F.col("q_start").alias("r_start"), F.col("q_end").alias("r_end"))
-        fresh, grown = intervals.insert(seen, new, ["region_id", "seq_id"], "r_start", "r_end")
+        if apart:
+            around = seen.select(F.col("region_id").alias("_region"), F.col("seq_id").alias("_seq"), (F.col("r_start") - apart).alias("_from"), (F.col("r_end") + apart).alias("_to"))
+            near = intervals.overlap_join(new, around, [("region_id", "_region"), ("seq_id", "_seq")], ("r_start", "r_end"), ("_from", "_to"), "left_semi")
+            over = seen.select(F.col("region_id").alias("_region"), F.col("seq_id").alias("_seq"), F.col("r_start").alias("_from"), F.col("r_end").alias("_to"))
+            touching = intervals.overlap_join(near, over, [("region_id", "_region"), ("seq_id", "_seq")], ("r_start", "r_end"), ("_from", "_to"), "left_anti")
+            new = new.join(touching.distinct(), ["region_id", "seq_id", "r_start", "r_end"], "left_anti")
+        known = seen
+        if mask is not None:
+            known = seen.unionByName(new.select(*keys).distinct().join(mask, "seq_id").select(*keys, "r_start", "r_end"))
+        fresh, grown = intervals.insert(known, new, keys, "r_start", "r_end")
+        if min_follow:
+            fresh = fresh.where(F.col("r_end") - F.col("r_start") >= min_follow)
+        last = (frontier, seen)
         frontier, seen = cut(fresh), cut(grown)
+        dropped(*last)
         if frontier.isEmpty():
             break
     out = levels[0]
@@ -136,7 +160,15 @@ def transitive(regions: DataFrame, found: DataFrame, max_depth: int = 2, min_out
     return out.where(F.abs(F.col("q_last") - F.col("q_first")) >= min_output) if min_output else out
 
 
-def with_subset(hits: DataFrame, seqs: DataFrame, keep: DataFrame) -> DataFrame:
+def named_by(seqs: DataFrame, names: DataFrame) -> DataFrame:
+    """seq_id of the sequences that a list (name) names: exactly, without coordinates, by sample and haplotype, or by a sample listed without haplotype."""
+    asked, listed = subset_keys(F.col("name")), names.select(subset_keys(F.col("name")).alias("k"))
+    exact = listed.select(F.explode(F.array("k.name", F.concat(F.lit("n|"), F.substr("k.base", F.lit(3))), "k.base", "k.hap", F.when(F.col("k.hap").isNull(), F.col("k.sample")))).alias("_key")).where("_key is not null").distinct()
+    each = seqs.select("seq_id", F.explode(F.array(asked["name"], F.concat(F.lit("n|"), F.substr(asked["base"], F.lit(3))), asked["base"], asked["hap"], asked["sample"])).alias("_key"))
+    return each.join(lookup(exact), "_key", "left_semi").select("seq_id").distinct()
+
+
+def with_subset(hits: DataFrame, seqs: DataFrame | None, keep: DataFrame) -> DataFrame:
     """Hits on the target itself, or on sequences that ``keep`` (seq_id) names."""
     named = hits.join(lookup(keep.select(F.col("seq_id").alias("_keep")).distinct()), F.col("query_id") == F.col("_keep"), "left")
     return named.where(F.col("_keep").isNotNull() | (F.col("query_id") == F.col("target_id"))).drop("_keep")

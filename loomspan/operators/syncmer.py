@@ -6,10 +6,13 @@ k-mers with another letter than A, C, G and T don't count.  A k-mer and its reve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.sequences import reverse_complement
 from loomspan.operators import graph, intervals
 
 
@@ -18,16 +21,75 @@ def density(w: int) -> float:
     return 2 / (w + 1)
 
 
+#: Positions of a sequence that are looked at together.
+PIECE = 1 << 18
+
+
+def _syncmers(seq: bytes, k: int, s: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, canonical k-mers, orientations) of a sequence's syncmers, a piece of the sequence at a time."""
+    codes = np.full(256, 4, np.uint8)
+    codes[list(b"ACGT")] = np.arange(4, dtype=np.uint8)
+    turned = np.arange(256, dtype=np.uint8)
+    turned[list(b"ACGT")] = list(b"TGCA")
+    raw, w = np.frombuffer(seq, np.uint8), k - s + 1
+    for begin in range(0, len(raw) - k + 1, PIECE):
+        own = raw[begin : begin + PIECE + k - 1]
+        n = len(own) - k + 1
+        base = codes[own].astype(np.int64)
+        bad = np.concatenate([[0], np.cumsum(base == 4)])
+        whole = bad[k:] == bad[: n]
+        if s <= 31:  # s-mers as numbers in alphabetical order
+            smer = np.zeros(n + w - 1, np.int64)
+            for j in range(s):
+                smer = smer * 4 + np.minimum(base[j : j + n + w - 1], 3)
+        else:
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, s)).view(f"S{s}").ravel()
+            smer = np.unique(rows, return_inverse=True)[1].astype(np.int64)
+        least = smer[:n].copy()
+        for j in range(1, w):
+            np.minimum(least, smer[j : j + n], out=least)
+        # The first of equal least s-mers is at the front, or none but the last reaches it.
+        inner = np.full(n, np.iinfo(np.int64).max)
+        for j in range(w - 1):
+            np.minimum(inner, smer[j : j + n], out=inner)
+        at = np.flatnonzero(whole & ((smer[:n] == least) | (inner > least)))
+        if not len(at):
+            continue
+        mers = own[at[:, None] + np.arange(k)]
+        back = turned[mers[:, ::-1]]
+        forward = np.ascontiguousarray(mers).view(f"S{k}").ravel() <= np.ascontiguousarray(back).view(f"S{k}").ravel()
+        yield begin + at, np.ascontiguousarray(np.where(forward[:, None], mers, back)), np.where(forward, 1, -1)
+
+
 def extract(sequences: DataFrame, k: int, s: int, key: str = "path_id", seq: str = "seq") -> DataFrame:
-    """key, step, pos, kmer (canonical) and orient of each syncmer of each sequence."""
-    starts = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
-    mers = sequences.select(key, F.col(seq).alias("_seq"), F.explode(starts).alias("_at")).select(key, (F.col("_at") - 1).alias("pos"), F.substr("_seq", F.col("_at"), F.lit(k)).alias("_kmer"))
-    smers = F.transform(F.sequence(F.lit(1), F.lit(k - s + 1)), lambda j: F.substr(F.col("_kmer"), j, F.lit(s)))
-    first = F.array_position(F.col("_s"), F.array_min("_s"))
-    kept = mers.where(~F.col("_kmer").rlike("[^ACGT]")).withColumn("_s", smers).where(first.isin(1, k - s + 1))
-    rc = reverse_complement(F.col("_kmer"))
-    order = Window.partitionBy(key).orderBy("pos")
-    return kept.select(key, "pos", F.least("_kmer", rc).alias("kmer"), F.when(F.col("_kmer") <= rc, 1).otherwise(-1).alias("orient")).withColumn("step", F.row_number().over(order) - 1)
+    """key, pos, kmer (canonical), orient and step of each syncmer of each sequence, in time linear in its length."""
+    kind = sequences.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            rows = 0
+            for i, text in enumerate(batch.column(seq).to_pylist()):
+                step = 0
+                for at, mers, orient in _syncmers((text or "").encode("ascii", "replace"), k, s):
+                    held.append((i, at, mers, orient, step))
+                    step, rows = step + len(at), rows + len(at)
+                    if rows >= PIECE:
+                        yield packed(batch, held)
+                        held, rows = [], 0
+            if held:
+                yield packed(batch, held)
+
+    def packed(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        n = [len(h[1]) for h in held]
+        mers = np.concatenate([h[2].reshape(-1, k) for h in held])
+        text = pa.StringArray.from_buffers(len(mers), pa.py_buffer((np.arange(len(mers) + 1) * k).astype(np.int32)), pa.py_buffer(mers.tobytes()))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(key).take(pa.array(np.repeat([h[0] for h in held], n).astype(np.int64))), pa.array(np.concatenate([h[1] for h in held]).astype(np.int32)), text,
+             pa.array(np.concatenate([h[3] for h in held]).astype(np.int32)), pa.array(np.concatenate([h[4] + np.arange(len(h[1])) for h in held]).astype(np.int32))],
+            [key, "pos", "kmer", "orient", "step"])
+
+    return sequences.select(key, seq).mapInArrow(run, f"`{key}` {kind}, pos int, kmer string, orient int, step int")
 
 
 def dictionary(found: DataFrame) -> DataFrame:
@@ -42,8 +104,18 @@ def frequent_nodes(walk: DataFrame, fraction: float, node: str = "node_id") -> D
     return counts.orderBy(F.desc("n"), node).limit(most).select(node)
 
 
-def anchors(queries: DataFrame, walk: DataFrame, node: str = "kmer") -> DataFrame:
-    """q_id, t_id, strand, q_pos, t_pos of shared nodes, one for each node, strand and diagonal; a path isn't matched with itself."""
+def occurring_over(walk: DataFrame, most: int, node: str = "kmer") -> DataFrame:
+    """Nodes of more than ``most`` occurrences."""
+    return walk.groupBy(node).agg(F.count("*").alias("n")).where(F.col("n") > most).select(node)
+
+
+def anchors(queries: DataFrame, walk: DataFrame, node: str = "kmer", masked: DataFrame | None = None) -> DataFrame:
+    """q_id, t_id, strand, q_pos, t_pos of shared nodes, one for each node, strand and diagonal; a path isn't matched with itself.
+
+    ``masked`` (node) are left out, as a node of n occurrences has n^2 pairs: ``frequent_nodes`` or ``occurring_over`` name them.
+    """
+    if masked is not None:
+        queries = queries.join(masked.select(node), node, "left_anti")
     q = queries.select(F.col("path_id").alias("q_id"), F.col(node).alias("_qn"), F.col("pos").alias("q_pos"), F.col("orient").alias("_qo"))
     t = walk.select(F.col("path_id").alias("t_id"), F.col(node).alias("_tn"), F.col("pos").alias("t_pos"), F.col("orient").alias("_to"))
     met = q.join(t, F.col("_qn") == F.col("_tn")).where("q_id <> t_id")

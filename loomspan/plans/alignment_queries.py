@@ -209,7 +209,7 @@ def snapped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refine_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     known: dict = {}
     regions, found, seqs = _all(spark, sf_dir)
-    return refine.refine(regions, found, seqs, step=200, most=400, span=100, distance=1000)
+    return refine.refine(regions, found, seqs)
 
 
 _FROM_REGIONS = ("regions", "ent", "eops")
@@ -224,16 +224,22 @@ def _refine_pass(k: int, lefts: str, rights: str, before: str) -> str:
     n{k} AS (SELECT row_number() OVER () AS region_id, own, l, r, seq_id, greatest(0, o_start - l) AS r_start, least(1000000, o_end + r) AS r_end FROM (
         SELECT g.region_id AS own, g.seq_id, g.r_start AS o_start, g.r_end AS o_end, unnest({lefts}) AS l, r FROM (SELECT g.*, {before} unnest({rights}) AS r FROM {'regions g' if k == 1 else f'regions g JOIN b{k - 1} b ON b.own = g.region_id'}) g)),
     h{k} AS ({hits_sql(f'n{k}')}),
-    s{k} AS (SELECT region_id, query_id, CASE WHEN q_first <= q_last THEN '+' ELSE '-' END AS strand, t_first, t_last FROM h{k}),
-    m{k} AS ({merge_sql(f's{k}', 'region_id, query_id, strand', 't_first', 't_last', 1000)}),
+    s{k} AS (SELECT *, row_number() OVER (PARTITION BY region_id, query_id, strand ORDER BY t_first, t_last, qs, qe) AS rn FROM (
+        SELECT region_id, query_id, CASE WHEN q_first <= q_last THEN '+' ELSE '-' END AS strand, t_first, t_last, least(q_first, q_last) AS qs, greatest(q_first, q_last) AS qe FROM h{k})),
+    f{k} AS (SELECT region_id, query_id, strand, rn, t_first AS a0, t_last AS a1, qs AS b0, qe AS b1, 1 AS run FROM s{k} WHERE rn = 1 UNION ALL
+        SELECT region_id, query_id, strand, rn, CASE WHEN near THEN least(a0, t_first) ELSE t_first END, CASE WHEN near THEN greatest(a1, t_last) ELSE t_last END,
+               CASE WHEN near THEN least(b0, qs) ELSE qs END, CASE WHEN near THEN greatest(b1, qe) ELSE qe END, CASE WHEN near THEN run ELSE run + 1 END FROM (
+            SELECT s.*, f.a0, f.a1, f.b0, f.b1, f.run, least(abs(s.t_first - f.a1), abs(f.a0 - s.t_last)) <= 10000 OR least(abs(s.qs - f.b1), abs(f.b0 - s.qe)) <= 10000 AS near
+            FROM f{k} f JOIN s{k} s ON s.region_id = f.region_id AND s.query_id = f.query_id AND s.strand = f.strand AND s.rn = f.rn + 1)),
+    m{k} AS (SELECT region_id, query_id, strand, arg_max(a0, rn) AS t_first, arg_max(a1, rn) AS t_last FROM f{k} GROUP BY region_id, query_id, strand, run),
     p{k} AS (SELECT n.region_id, count(DISTINCT split_part(q.name, '#', 1) || '#' || split_part(q.name, '#', 2)) AS support FROM m{k} m JOIN n{k} n ON n.region_id = m.region_id JOIN seqs q ON q.seq_id = m.query_id
-        WHERE m.query_id <> n.seq_id AND t_first <= n.r_start + least(100, n.r_end - n.r_start) AND t_last >= n.r_end - least(100, n.r_end - n.r_start) GROUP BY n.region_id),
+        WHERE m.query_id <> n.seq_id AND t_first <= n.r_start + least(1000, n.r_end - n.r_start) AND t_last >= n.r_end - least(1000, n.r_end - n.r_start) GROUP BY n.region_id),
     b{k} AS (SELECT own, seq_id, r_start, r_end, l, r, support FROM (SELECT n.*, coalesce(p.support, 0) AS support,
         row_number() OVER (PARTITION BY own ORDER BY coalesce(p.support, 0) DESC, l + r, greatest(l, r), r_end - r_start, l) AS rank FROM n{k} n LEFT JOIN p{k} p ON p.region_id = n.region_id) WHERE rank = 1)"""
 
 
-_REFINE = "WITH " + ",".join((
-    _refine_pass(1, "[0, 200, 400]", "[0]", ""), _refine_pass(2, "[g.bl]", "[0, 200, 400]", "b.l AS bl,"), _refine_pass(3, "[0, 200, 400]", "[b.r]", ""),
+_REFINE = "WITH RECURSIVE " + ",".join((
+    _refine_pass(1, "range(0, 11000, 1000)", "[0]", ""), _refine_pass(2, "[g.bl]", "range(0, 11000, 1000)", "b.l AS bl,"), _refine_pass(3, "range(0, 11000, 1000)", "[b.r]", ""),
 )).lstrip() + " SELECT own AS region_id, seq_id, r_start::INT AS r_start, r_end::INT AS r_end, l::INT AS \"left\", r::INT AS \"right\", support FROM b3"
 _LEVEL2 = f"""
     WITH l0 AS (SELECT * FROM hits),
@@ -270,7 +276,11 @@ SQL = {
               FROM j JOIN tp ON tp.aln_id = j.aln_id GROUP BY ALL)
         SELECT region_id, query_id, CASE WHEN strand = '-' THEN qe - a::INT ELSE qs + a::INT END AS q_first,
                CASE WHEN strand = '-' THEN qe - b::INT ELSE qs + b::INT END AS q_last, target_id, t_first, t_last FROM p WHERE a <> b""", "regions", "ops", "aln_ends", "fulls"),
-    "bidirectional_entries": duck("SELECT e.aln_id, e.rev AS reversed, query_id, qs, qe, target_id, ts, te, strand, c.cigar FROM ent e JOIN (SELECT aln_id, rev, string_agg(len || op, '' ORDER BY ord) AS cigar FROM eops GROUP BY aln_id, rev) c ON c.aln_id = e.aln_id AND c.rev = e.rev", "ent", "eops"),
+    "bidirectional_entries": duck("""
+        WITH o AS (SELECT *, m1 || '=' AS a, CASE WHEN n_x > 0 THEN n_x || 'X' ELSE '' END AS x, m2 || '=' AS z, CASE WHEN n_ins > 0 THEN n_ins || 'I' ELSE '' END AS i, CASE WHEN n_del > 0 THEN n_del || 'D' ELSE '' END AS d FROM aln_ends)
+        SELECT aln_id, false AS reversed, query_id, qs, qe, target_id, ts, te, strand, a || i || x || d || z AS cigar FROM o
+        UNION ALL SELECT aln_id, true, target_id, ts, te, query_id, qs, qe, strand,
+            CASE WHEN strand = '-' THEN z || replace(d, 'D', 'I') || x || replace(i, 'I', 'D') || a ELSE a || replace(i, 'I', 'D') || x || replace(d, 'D', 'I') || z END FROM o WHERE query_id <> target_id""", "aln_ends"),
     "cigar_identity": duck("SELECT aln_id, round((m1 + m2) / (m1 + m2 + n_x + CASE WHEN n_ins > 0 THEN 1 ELSE 0 END + CASE WHEN n_del > 0 THEN 1 ELSE 0 END), 9) AS identity, te - ts AS t_span, qe - qs AS q_span FROM aln_ends", "aln_ends"),
     "interval_merge": duck(merge_sql("spans", "seq_id", "start", "stop", 300_000), "spans"),
     "interval_subtract": duck(f"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan import session
-from loomspan.operators import graph, lace, partition, projection, syncmer
+from loomspan.operators import cigar, graph, lace, partition, projection, syncmer
 from loomspan.plans import domain, graph_queries  # noqa: F401  (its views are used here)
 from loomspan.plans.alignment_queries import alignments, hits_sql, merge_sql
 from loomspan.plans.domain import duck
@@ -99,7 +99,7 @@ def paf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     writers.write(writers.paf_lines(rows), path)
     back = text_formats.read_paf(spark, path)
-    return back.select("query", "qs", "qe", "strand", "target", "ts", "te", "matches", "block", F.size("cigar").alias("n_ops"))
+    return back.select("query", "qs", "qe", "strand", "target", "ts", "te", "matches", "block", cigar.render(F.col("cigar")).alias("cigar"))
 
 
 def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ domain.DUCK_ONLY |= {
     "walk": f"""SELECT path_id, pos, least(kmer, rc) AS kmer, CASE WHEN kmer <= rc THEN 1 ELSE -1 END AS orient, row_number() OVER (PARTITION BY path_id ORDER BY pos) - 1 AS step
         FROM (SELECT *, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc, list_transform(range({K - S + 1}), lambda j: kmer[j + 1 : j + {S}]) AS s FROM {{mers}})
         WHERE list_position(s, list_min(s)) IN (1, {K - S + 1})""",
-    "asked": "SELECT w.* FROM {walk} w JOIN {orders} o ON o.o_orderkey = w.path_id WHERE o.o_orderstatus = 'P'",
+    "asked": "SELECT * FROM {walk}",
     "anch": f"""SELECT q_id, t_id, strand, q_pos AS q_start, q_pos + {K} AS q_end, t_pos FROM (
         SELECT q_id, t_id, strand, diag, node, min(struct_pack(q := q_pos, t := t_pos)).q AS q_pos, min(struct_pack(q := q_pos, t := t_pos)).t AS t_pos FROM (
             SELECT q.path_id AS q_id, t.path_id AS t_id, q.kmer AS node, CASE WHEN q.orient = t.orient THEN '+' ELSE '-' END AS strand, q.pos AS q_pos, t.pos AS t_pos,
@@ -163,8 +163,8 @@ SQL = {
         WITH c AS (SELECT 'c' || query_id AS chrom, (ts % 1000 + 1 + query_id * 1000)::BIGINT AS pos, CASE WHEN strand = '-' THEN 'C' ELSE 'G' END AS alt, 's' || n_ins AS sample, min(CASE WHEN n_del > 3 THEN '0/1' ELSE '1/1' END) AS gt FROM aln_base GROUP BY ALL),
         v AS (SELECT DISTINCT chrom, pos, alt FROM c), n AS (SELECT DISTINCT sample FROM c)
         SELECT v.chrom, v.pos, 'A' AS ref, v.alt, string_agg(coalesce(c.gt, './.'), chr(9) ORDER BY n.sample) AS genotypes FROM v CROSS JOIN n LEFT JOIN c ON c.chrom = v.chrom AND c.pos = v.pos AND c.alt = v.alt AND c.sample = n.sample GROUP BY v.chrom, v.pos, v.alt""", "aln_base"),
-    "unused_segments": duck("SELECT seg_id, len FROM segments WHERE seg_id NOT IN (SELECT s.seg_id FROM steps s JOIN orders o ON o.o_orderkey = s.path_id WHERE o.o_orderstatus = 'F' AND s.idx = 0)", "segments", "steps"),
-    "paf_round_trip": duck("SELECT q.name AS query, a.qs, a.qe, a.strand, t.name AS target, a.ts, a.te, m1 + m2 AS matches, m1 + m2 + n_x + n_ins + n_del AS block, 2 + (n_ins > 0)::INT + (n_x > 0)::INT + (n_del > 0)::INT AS n_ops FROM aln_ends a JOIN seqs q ON q.seq_id = a.query_id JOIN seqs t ON t.seq_id = a.target_id", "aln_ends", "seqs"),
+    "unused_segments": duck("SELECT seg_id, len FROM segments WHERE seg_id NOT IN (SELECT s.seg_id FROM steps s JOIN orders o ON o.o_orderkey = s.path_id WHERE o.o_orderstatus = 'F')", "segments", "steps"),
+    "paf_round_trip": duck("SELECT q.name AS query, a.qs, a.qe, a.strand, t.name AS target, a.ts, a.te, m1 + m2 AS matches, m1 + m2 + n_x + n_ins + n_del AS block, m1 || '=' || n_ins || 'I' || CASE WHEN n_x > 0 THEN n_x || 'X' ELSE '' END || CASE WHEN n_del > 0 THEN n_del || 'D' ELSE '' END || m2 || '=' AS cigar FROM aln_ends a JOIN seqs q ON q.seq_id = a.query_id JOIN seqs t ON t.seq_id = a.target_id", "aln_ends", "seqs"),
     "gfa_round_trip": duck("SELECT s.path_id::VARCHAR AS path, s.idx, s.seg_id::VARCHAR AS name, s.orient, g.len FROM steps s JOIN segments g ON g.seg_id = s.seg_id", "steps", "segments"),
     "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "session_merge": duck("""SELECT seq_id AS user_id, min(start) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM (
@@ -179,3 +179,12 @@ SQL = {
         l AS (SELECT p.seq_id, p.start, p.stop, min(m.rank) AS rank FROM p JOIN m ON m.seq_id = p.seq_id AND m.start < p.stop AND p.start < m.stop WHERE p.stop IS NOT NULL GROUP BY ALL)
         SELECT seq_id, start::INT AS start, stop::INT AS stop, rank FROM ({merge_sql('l', 'seq_id, rank', 'start', 'stop', 0)})""", "seqs", "ent", "eops"),
 }
+# Passes of re-homing over the partitions that the query above gives.
+SQL["partition_rehomed"] = f"""WITH RECURSIVE parts AS MATERIALIZED ({SQL["partition_windows"]}),
+    r AS (SELECT 0 AS pass, seq_id, start, stop, rank, true AS moved FROM parts UNION ALL
+        SELECT pass + 1, seq_id, start, stop, CASE WHEN move THEN CASE WHEN ln >= rn THEN lw ELSE rw END ELSE rank END, move FROM (
+            SELECT *, n = 1 AND greatest(ln, rn) > 1 AS move FROM (
+                SELECT *, CASE WHEN lag(stop) OVER w = start THEN lag(n) OVER w ELSE 0 END AS ln, lag(rank) OVER w AS lw, CASE WHEN lead(start) OVER w = stop THEN lead(n) OVER w ELSE 0 END AS rn, lead(rank) OVER w AS rw
+                FROM (SELECT pass, seq_id, start, stop, rank, count(*) OVER (PARTITION BY rank) AS n, bool_or(moved) OVER () AS goes_on FROM r WHERE pass < 100) WHERE goes_on WINDOW w AS (PARTITION BY seq_id ORDER BY start)))),
+    last AS (SELECT max(pass) AS pass FROM r)
+    SELECT seq_id, start, stop, rank FROM r WHERE pass = (SELECT pass FROM last)"""

@@ -65,8 +65,31 @@ VIEWS: dict[str, str] = {
     # A multiple alignment for each order: rows are its parts' sequences padded to a common width.
     "msa": """
         SELECT s.path_id AS region_id, s.idx AS row_id, concat('s', g.seg_id % 7, '#', g.seg_id % 2, '#c', s.idx) AS name,
-               rpad(replace(substr(g.seq, 1, 24), 'GT', '--'), 24, '-') AS aligned
+               rpad(replace(g.seq, 'GT', '--'), 50, '-') AS aligned
         FROM {steps} s JOIN {segments} g ON s.seg_id = g.seg_id""",
+    # A graph with loose ends: orders are segments, customers the paths through theirs.
+    "visit_segments": """
+        SELECT o_orderkey AS seg_id, 1 AS len, 'A' AS seq FROM {orders}""",
+    "visit_steps": """
+        SELECT o_custkey AS path_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderkey AS seg_id, '+' AS orient FROM {orders}""",
+    "visit_links": """
+        SELECT seg_id AS from_id, '+' AS from_orient, to_id, '+' AS to_orient
+        FROM (SELECT seg_id, lead(seg_id) OVER (PARTITION BY path_id ORDER BY idx) AS to_id FROM {visit_steps}) s WHERE to_id IS NOT NULL""",
+    # Customers pass through their nation, and then nearly all through 1; the few with large debts through 2.
+    "tour_steps": """
+        SELECT c_custkey AS path_id, 0 AS idx, CAST(1000 + c_nationkey AS BIGINT) AS seg_id, '+' AS orient FROM {customer}
+        UNION ALL SELECT c_custkey, 1, CAST(CASE WHEN c_acctbal < -900 THEN 2 ELSE 1 END AS BIGINT), '+' FROM {customer}""",
+    # Haplotypes of suppliers: three pieces of 20 bases, the outer ones for the nation, the middle one also for the key's rest by three.
+    "haps": """
+        SELECT s_suppkey AS seq_id, CAST(s_nationkey AS INT) AS nation, concat(p1, p2, p3) AS seq FROM (
+            SELECT s_suppkey, s_nationkey,
+                   substr(translate(md5(concat('a', s_nationkey)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 20) AS p1,
+                   substr(translate(md5(concat('b', s_nationkey, '.', s_suppkey % 3)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 20) AS p2,
+                   substr(translate(md5(concat('c', s_nationkey)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 20) AS p3 FROM {supplier}) p""",
+    # Each haplotype aligned to the one before it of its nation (outer pieces), and to the one before it with the same middle piece.
+    "hap_pairs": """
+        SELECT seq_id AS query_id, lag(seq_id) OVER (PARTITION BY nation ORDER BY seq_id) AS outer_id,
+               lag(seq_id) OVER (PARTITION BY nation, seq_id % 3 ORDER BY seq_id) AS middle_id FROM {haps}""",
 }
 #: Views whose text differs between the engines.
 SPARK_ONLY = {"event_ms": "SELECT user_id, event_type, unix_micros(CAST(ts AS TIMESTAMP)) div 1000 AS epoch_ms FROM {events}"}

@@ -64,12 +64,14 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tips(*_graph(spark, sf_dir))
+    """Loose ends of the graph of customers' orders."""
+    known: dict = {}
+    return graph.tips(*(domain.view(spark, sf_dir, n, known) for n in ("visit_segments", "visit_links", "visit_steps")))
 
 
 def graph_repeat_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, steps = _graph(spark, sf_dir)
-    return graph.repeat_contexts(steps)
+    """Nations that nearly all their customers leave in one way."""
+    return graph.repeat_contexts(domain.view(spark, sf_dir, "tour_steps"))
 
 
 def graph_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ def graph_self_loops_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_depth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, _, steps = _graph(spark, sf_dir)
-    return graph.depth_runs(segments, steps.withColumn("path_id", F.lit(1)), 0.6)
+    return graph.depth_runs(segments, steps, 0.6, 0.001)
 
 
 def graph_sparse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +155,9 @@ def genotype_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genotype_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Haplotype triples from each locus's four nearest candidates; rows only, as scores tie."""
-    return genotype.cosine_genotypes(*_locus(spark, sf_dir), ploidy=3, top_k=4, best=1)
+    """The best triple of each locus's four nearest candidates."""
+    found = genotype.cosine_genotypes(*_locus(spark, sf_dir), ploidy=3, top_k=4, best=1)
+    return found.select("locus_id", "c1", "c2", "c3", F.col("dot").cast("long").alias("dot"), F.round("similarity", 9).alias("similarity"))
 
 
 def infer_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,18 +274,18 @@ SQL = {
         SELECT start_bp::BIGINT AS start_bp, end_bp::BIGINT AS end_bp, crossing::BIGINT AS crossing FROM r WHERE end_bp IS NOT NULL AND crossing >= 2""", "jumps"),
     "graph_components": duck("SELECT seg_id, comp FROM comps", "comps"),
     "graph_tips": duck("""
-        WITH e AS (SELECT DISTINCT seg_id FROM (SELECT seg_id, row_number() OVER (PARTITION BY path_id ORDER BY idx) AS f, row_number() OVER (PARTITION BY path_id ORDER BY idx DESC) AS l FROM steps) WHERE f = 1 OR l = 1)
-        SELECT g.seg_id, e.seg_id IS NULL AS internal FROM segments g LEFT JOIN (SELECT s, count(*) AS d FROM (SELECT from_id AS s FROM links UNION ALL SELECT to_id FROM links) GROUP BY s) x ON x.s = g.seg_id LEFT JOIN e ON e.seg_id = g.seg_id WHERE coalesce(x.d, 0) <= 1""", "segments", "links", "steps"),
+        WITH e AS (SELECT DISTINCT seg_id FROM (SELECT seg_id, row_number() OVER (PARTITION BY path_id ORDER BY idx) AS f, row_number() OVER (PARTITION BY path_id ORDER BY idx DESC) AS l FROM visit_steps) WHERE f = 1 OR l = 1)
+        SELECT g.seg_id, e.seg_id IS NULL AS internal FROM visit_segments g LEFT JOIN (SELECT s, count(*) AS d FROM (SELECT from_id AS s FROM visit_links UNION ALL SELECT to_id FROM visit_links) GROUP BY s) x ON x.s = g.seg_id LEFT JOIN e ON e.seg_id = g.seg_id WHERE coalesce(x.d, 0) <= 1""", "visit_segments", "visit_links", "visit_steps"),
     "graph_repeat_contexts": duck("""
-        WITH c AS (SELECT concat(seg_id, orient) AS node, coalesce(concat(lag(seg_id) OVER w, lag(orient) OVER w), '') AS l, coalesce(concat(lead(seg_id) OVER w, lead(orient) OVER w), '') AS r FROM steps WINDOW w AS (PARTITION BY path_id ORDER BY idx)),
+        WITH c AS (SELECT concat(seg_id, orient) AS node, coalesce(concat(lag(seg_id) OVER w, lag(orient) OVER w), '') AS l, coalesce(concat(lead(seg_id) OVER w, lead(orient) OVER w), '') AS r FROM tour_steps WINDOW w AS (PARTITION BY path_id ORDER BY idx)),
         n AS (SELECT node, CASE WHEN l = '' THEN '^' ELSE l END AS l, CASE WHEN r = '' THEN '$' ELSE r END AS r, count(*) AS n FROM c GROUP BY ALL),
         k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, l, r) AS rank FROM n),
         t AS (SELECT node, sum(n)::BIGINT AS total, max(n) FILTER (rank = 1) AS dominant, max(n) FILTER (rank = 2) AS second, max(l) FILTER (rank = 1) AS dominant_left, max(r) FILTER (rank = 1) AS dominant_right FROM k GROUP BY node)
-        SELECT node, total, dominant, total - dominant AS minor, dominant_left, dominant_right FROM t WHERE second < dominant AND total - dominant <= 2 AND dominant / total >= 0.8""", "steps"),
+        SELECT node, total, dominant, total - dominant AS minor, dominant_left, dominant_right FROM t WHERE second < dominant AND total - dominant <= 2 AND dominant / total >= 0.8""", "tour_steps"),
     "graph_repeat_runs": duck("SELECT * FROM runs", "runs"),
     "graph_depth_runs": duck("""
-        WITH v AS (SELECT l.ord, c.visits, c.len FROM laid l JOIN cov c ON c.seg_id = l.seg_id), k AS (SELECT *, ord - row_number() OVER (ORDER BY ord) AS i FROM v WHERE visits >= (SELECT greatest(ceil(max(visits) * 60 / 100), 2) FROM v))
-        SELECT min(ord) AS start_order, max(ord) AS end_order, count(*) AS nodes, min(visits) AS min_depth, max(visits) AS max_depth, sum(visits)::BIGINT AS sum_depth FROM k GROUP BY i""", "laid", "cov"),
+        WITH v AS (SELECT l.ord, c.visits, c.len FROM laid l JOIN cov c ON c.seg_id = l.seg_id), k AS (SELECT *, ord - row_number() OVER (ORDER BY ord) AS i FROM v WHERE visits >= (SELECT greatest(ceil(max(visits) * 60 / 100), floor((SELECT count(DISTINCT path_id) FROM steps) * 0.001), 2) FROM v))
+        SELECT min(ord) AS start_order, max(ord) AS end_order, count(*) AS nodes, min(visits) AS min_depth, max(visits) AS max_depth, sum(visits)::BIGINT AS sum_depth FROM k GROUP BY i""", "laid", "cov", "steps"),
     "graph_sparse_runs": duck("""
         WITH n AS (SELECT count(DISTINCT path_id) AS p FROM steps), v AS (SELECT l.ord, c.paths, c.len FROM laid l JOIN cov c ON c.seg_id = l.seg_id), k AS (SELECT *, ord - row_number() OVER (ORDER BY ord) AS i FROM v WHERE paths / (SELECT p FROM n) <= 0.0015)
         SELECT min(ord) AS start_order, max(ord) AS end_order, count(*) AS nodes, sum(len)::BIGINT AS bp, sum(len * ((SELECT p FROM n) - paths))::BIGINT AS missing_path_bp FROM k GROUP BY i""", "laid", "cov", "steps"),
@@ -309,6 +312,27 @@ SQL = {
               FROM dots a JOIN dots b ON a.locus_id = b.locus_id AND a.cand_id <= b.cand_id LEFT JOIN g ON g.locus_id = a.locus_id AND g.i = a.cand_id AND g.j = b.cand_id),
         r AS (SELECT *, least(1.0, dot / (sqrt(g2) * sqrt(x2))) AS s FROM c)
         SELECT locus_id, c1, c2, dot, round(s, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY round(s, 12) DESC, dot DESC, c1, c2) AS rank FROM r) WHERE rank = 1""", "dots", "cand_features"),
+    "genotype_topk": duck("""
+        WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY least(1.0, dot / (sqrt(h2) * sqrt(x2))) DESC, dot DESC, cand_id) AS k FROM dots) WHERE k <= 4),
+        f AS (SELECT c.* FROM cand_features c JOIN t ON t.locus_id = c.locus_id AND t.cand_id = c.cand_id),
+        g AS (SELECT a.locus_id, a.cand_id AS i, b.cand_id AS j, sum(a.weight * b.weight) AS h FROM f a JOIN f b ON a.locus_id = b.locus_id AND a.feature_id = b.feature_id AND a.cand_id <= b.cand_id GROUP BY ALL),
+        c AS (SELECT a.locus_id, a.cand_id AS c1, b.cand_id AS c2, d.cand_id AS c3, (a.dot + b.dot + d.dot)::BIGINT AS dot, a.x2,
+                     a.h2 + b.h2 + d.h2 + 2 * (coalesce(x.h, 0) + coalesce(y.h, 0) + coalesce(z.h, 0)) AS g2
+              FROM t a JOIN t b ON b.locus_id = a.locus_id AND b.cand_id >= a.cand_id JOIN t d ON d.locus_id = a.locus_id AND d.cand_id >= b.cand_id
+              LEFT JOIN g x ON x.locus_id = a.locus_id AND x.i = a.cand_id AND x.j = b.cand_id LEFT JOIN g y ON y.locus_id = a.locus_id AND y.i = a.cand_id AND y.j = d.cand_id LEFT JOIN g z ON z.locus_id = a.locus_id AND z.i = b.cand_id AND z.j = d.cand_id),
+        s AS (SELECT *, least(1.0, dot / (sqrt(g2) * sqrt(x2))) AS s FROM c)
+        SELECT locus_id, c1, c2, c3, dot, round(s, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY round(s, 12) DESC, dot DESC, c1, c2, c3) AS rank FROM s) WHERE rank = 1""", "dots", "cand_features"),
+    "infer_mosaics": duck("""
+        WITH RECURSIVE q AS (SELECT o.o_custkey AS sample_id, s.idx // 2 AS locus, s.path_id AS cand_id, sum(s.seg_id % 50)::DOUBLE AS qv FROM steps s JOIN orders o ON o.o_orderkey = s.path_id GROUP BY ALL),
+        n AS (SELECT *, dense_rank() OVER (PARTITION BY sample_id ORDER BY locus) AS k FROM q),
+        v AS (SELECT sample_id, k, cand_id, qv AS score, [cand_id] AS path FROM n WHERE k = 1
+              UNION ALL SELECT sample_id, k, cand_id, score, path FROM (
+                  SELECT n.sample_id, n.k, n.cand_id, v.score + n.qv - CASE WHEN v.cand_id <> n.cand_id THEN 20 ELSE 0 END AS score, list_append(v.path, n.cand_id) AS path,
+                         row_number() OVER (PARTITION BY n.sample_id, n.cand_id ORDER BY v.score + n.qv - CASE WHEN v.cand_id <> n.cand_id THEN 20 ELSE 0 END DESC, v.path) AS rank
+                  FROM v JOIN n ON n.sample_id = v.sample_id AND n.k = v.k + 1) WHERE rank = 1),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY k DESC, score DESC, path) AS rank FROM v) WHERE rank = 1),
+        p AS (SELECT sample_id, score, unnest(range(1, len(path) + 1)) AS k, unnest(path) AS cand_id FROM b)
+        SELECT DISTINCT p.sample_id, n.locus, p.cand_id, p.score FROM p JOIN n ON n.sample_id = p.sample_id AND n.k = p.k""", "steps"),
     "lis_lengths": duck("""
         WITH RECURSIVE c AS (SELECT path_id, idx, seg_id, 1 AS n FROM steps UNION SELECT c.path_id, s.idx, s.seg_id, c.n + 1 FROM c JOIN steps s ON s.path_id = c.path_id AND s.idx > c.idx AND s.seg_id > c.seg_id)
         SELECT path_id, max(n)::INT AS lis FROM c GROUP BY path_id""", "steps"),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.plans import alignment_queries, cohort_queries, graph_queries
+from loomspan.plans import alignment_queries, cohort_queries, graph_queries, induction_queries, walk_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (alignment_queries, graph_queries, cohort_queries)
+GROUPS = (alignment_queries, graph_queries, cohort_queries, walk_queries, induction_queries)
 
 
 def queries() -> dict[str, Query]:
