@@ -1,15 +1,16 @@
 """Exact top-k inner products by columnar branch-and-bound.
 
-Queries are the rows whose ``vec_id`` is divisible by ``EVERY``.  They are written once and read in blocks
-of bounded size; each block is broadcast and every partition of candidates answers it with its own best
-k, which then meet by query.  Rows times queries is the work that the stated query set asks for; nothing
-but k rows for each query and partition leaves a task.
+Queries are the rows whose ``vec_id`` is divisible by ``EVERY``.  They are written once and go out in passes
+of bounded size; in a pass every partition of candidates answers the pass's queries with its own best k, which
+then meet by query.  Rows times queries is the work that the stated query set asks for; nothing but k rows
+for each query and partition leaves a task.  With more than one pass, each one's answers are written before
+the next begins, so that the driver holds one pass of queries and plans don't grow.
 
 Within a task the candidates lie in vertical layout, a row for each dimension.  Scores add up dimension
-block by block; after each block a candidate stays only if its score so far plus the largest product
-that the remaining coordinates allow (the Cauchy-Schwarz bound on the remaining mass of both vectors)
-reaches the k-th best score known; survivors are compacted.  Queries go by descending mass of their
-blocks, so that the first blocks say most.
+block by block, the query's blocks of largest mass first.  After each block a candidate's score lies within
+the product of the remaining masses (Cauchy-Schwarz) of what it has so far; the k-th largest of the lower
+ends raises the threshold, candidates whose upper end is below it go, and the survivors are compacted.
+The threshold of a query is carried from one chunk of candidates to the next.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without a
 ``vec_id``, take no part; an empty vector scores 0; only vectors of a query's length are its
@@ -19,6 +20,7 @@ ties go to the smaller id; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from loomspan.llm import shared
 
 EVERY, K, SCALE = 50, 5, 256
-#: Dimensions of a block; bytes of a broadcast block of queries; candidates handled at once.
-DIMS, QUERY_BYTES, CHUNK = 8, 8 << 20, 16_384
+#: Dimensions of a block; bytes of the queries of a pass; candidates handled at once; masses up to which sums in doubles are exact.
+DIMS, QUERY_BYTES, CHUNK, EXACT = 8, 32 << 20, 16_384, 2.0**52
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -46,71 +48,99 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes
 
 
-def best(query: np.ndarray, own: int, columns: np.ndarray, rest: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best candidates; columns has a row for each dimension, rest the remaining mass before each block."""
-    dims, n = columns.shape
-    alive = np.flatnonzero(ids != own)
-    starts = list(range(0, dims, DIMS))
-    left = [np.sqrt(float((query[a:].astype(np.float64) ** 2).sum())) for a in starts] + [0.0]
-    floor_ = -np.inf
-    if len(alive) > 4 * k:  # whole scores of a few candidates of large mass give a first bound
-        some = alive[np.argpartition(-rest[0][alive], k)[:k]] if dims else alive[:k]
-        floor_ = float((query @ columns[:, some]).min())
-    score = np.zeros(len(alive), np.int64)
-    for i, a in enumerate(starts):
-        score = score + query[a : a + DIMS] @ columns[a : a + DIMS, alive]
-        bound = score + left[i + 1] * rest[i + 1][alive] * (1 + 1e-9) + 1e-6
-        on = bound >= floor_
+class Chunk:
+    """Candidates in vertical layout: a row for each dimension, and the squared mass of each block of dimensions."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.ids, wide = ids, vectors.astype(np.float64)
+        self.starts = list(range(0, vectors.shape[1], DIMS))
+        self.masses = np.stack([(wide[:, a : a + DIMS] ** 2).sum(axis=1) for a in self.starts]) if self.starts else np.zeros((0, len(ids)))
+        self.most = float(self.masses.sum(axis=0).max(initial=0.0))
+        self.columns = np.ascontiguousarray((wide if self.most < EXACT else vectors).T)
+        self.whole = vectors
+
+
+def best(query: np.ndarray, own: int, chunk: Chunk, k: int, floor_: float = -np.inf) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(ids, scores) of the k best candidates that reach ``floor_``, and how many candidates each block touched."""
+    wide = query.astype(np.float64)
+    mass = np.array([(wide[a : a + DIMS] ** 2).sum() for a in chunk.starts])
+    exact = max(chunk.most, float(mass.sum())) < EXACT
+    asked, columns = (wide, chunk.columns) if exact and chunk.columns.dtype == np.float64 else (query, chunk.whole.T)
+    order = np.argsort(-mass, kind="stable")
+    alive, touched = np.flatnonzero(chunk.ids != own), []
+    score = np.zeros(len(alive), columns.dtype)
+    rest = chunk.masses[:, alive].sum(axis=0)
+    left = float(mass.sum())
+    for i in order:
+        touched.append(len(alive))
+        a = chunk.starts[i]
+        score = score + asked[a : a + DIMS] @ (columns[a : a + DIMS] if len(alive) == len(chunk.ids) else columns[a : a + DIMS, alive])
+        left, rest = max(0.0, left - float(mass[i])), np.maximum(0.0, rest - chunk.masses[i, alive])
+        slack = np.sqrt(left * rest) * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(left))
+        if len(alive) > 4 * k:
+            low = score - slack
+            floor_ = max(floor_, float(low[np.argpartition(low, len(low) - k)[-k:]].min()))
+        on = score + slack >= floor_
         if not on.all():
-            alive, score = alive[on], score[on]
-    order = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive[order]], score[order]
+            alive, score, rest = alive[on], score[on], rest[on]
+    score = score.astype(np.int64)
+    first = np.lexsort((chunk.ids[alive], -score))[:k]
+    return chunk.ids[alive[first]], score[first], touched
+
+
+def _held(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The ids and vectors of a pass's queries by their length."""
+    own = queries.select("vec_id", "v").toArrow()
+    values, sizes = _matrix(own.column("v").combine_chunks()) if own.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ends, names = np.cumsum(sizes), own.column("vec_id").to_numpy().astype(np.int64)
+    return {int(d): (names[sizes == d], values[(ends[sizes == d] - d)[:, None] + np.arange(d)] if d else np.zeros(((sizes == 0).sum(), 0), np.int64)) for d in np.unique(sizes)}
+
+
+def _answers(rows: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """query_id, _copy, vec_id and score of each partition's best k for each query."""
+    held = rows.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            values, sizes = _matrix(batch.column("v"))
+            ids, ends = batch.column("vec_id").to_numpy(), np.cumsum(sizes)
+            for d, (names, vectors) in held.value.items():
+                at = np.flatnonzero(sizes == d)
+                for a in range(0, len(at), CHUNK):
+                    some = at[a : a + CHUNK]
+                    chunk = Chunk(values[(ends[some] - d)[:, None] + np.arange(d)] if d else np.zeros((len(some), 0), np.int64), ids[some])
+                    for i, (name, q) in enumerate(zip(names.tolist(), vectors)):
+                        before = tops.get((d, i, name))
+                        floor_ = float(before[1][-1]) if before is not None and len(before[1]) == k else -np.inf
+                        x, s, _ = best(q, name, chunk, k, floor_)
+                        if before is not None:
+                            x, s = np.concatenate([before[0], x]), np.concatenate([before[1], s])
+                            order = np.lexsort((x, -s))[:k]
+                            x, s = x[order], s[order]
+                        tops[d, i, name] = x, s
+        if tops:
+            n = [len(x) for x, _ in tops.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for _, _, q in tops], n).astype(np.int64)), pa.array(np.repeat([i for _, i, _ in tops], n).astype(np.int32)), *(pa.array(np.concatenate([t[j] for t in tops.values()]).astype(np.int64)) for j in (0, 1))], ["query_id", "_copy", "vec_id", "score"])
+
+    return shared.mapped(rows, run, "query_id long, _copy int, vec_id long, score long")
+
+
+def _ranked(answers: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "_copy").orderBy(F.desc("score"), "vec_id")
+    return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
     rows = quantised(vectors)
     asked = shared.written(rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("_h", F.xxhash64("vec_id")), "queries")
     size = asked.agg(F.sum(F.size("v") * 8 + 16).alias("bytes")).first()["bytes"] or 0
-    blocks, found = max(1, -(-size // QUERY_BYTES)), []
-    for block in range(blocks):
-        own = asked.where(F.pmod("_h", F.lit(blocks)) == block).select("vec_id", "v").toArrow()
-        values, sizes = _matrix(own.column("v").combine_chunks()) if own.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        ends = np.cumsum(sizes)
-        names = own.column("vec_id").to_numpy().astype(np.int64)
-        block_of = {int(d): (names[sizes == d], values[np.concatenate([np.arange(e - d, e) for e in ends[sizes == d]])].reshape(-1, d) if d else np.zeros(((sizes == 0).sum(), 0), np.int64)) for d in np.unique(sizes)}
-        held = spark.sparkContext.broadcast(block_of)
-
-        def answer(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            tops: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                values, sizes = _matrix(batch.column("v"))
-                ids, ends = batch.column("vec_id").to_numpy(), np.cumsum(sizes)
-                for d, (names, queries) in held.value.items():
-                    at = np.flatnonzero(sizes == d)
-                    for a in range(0, len(at), CHUNK):
-                        some = at[a : a + CHUNK]
-                        columns = np.ascontiguousarray(values[(ends[some] - d)[:, None] + np.arange(d)].T) if d else np.zeros((0, len(some)), np.int64)
-                        mass = np.concatenate([np.cumsum((columns.astype(np.float64) ** 2)[::-1], axis=0)[::-1], np.zeros((1, len(some)))])
-                        rest = np.sqrt(mass[[*range(0, d, DIMS), d]])
-                        for i, (name, q) in enumerate(zip(names.tolist(), queries)):
-                            x, s = best(q, name, columns, rest, ids[some], k)
-                            if (d, i, name) in tops:
-                                x, s = np.concatenate([tops[d, i, name][0], x]), np.concatenate([tops[d, i, name][1], s])
-                                order = np.lexsort((x, -s))[:k]
-                                x, s = x[order], s[order]
-                            tops[d, i, name] = x, s
-            if tops:
-                n = [len(x) for x, _ in tops.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for _, _, q in tops], n).astype(np.int64)), pa.array(np.repeat([i for _, i, _ in tops], n).astype(np.int32)), *(pa.array(np.concatenate([t[j] for t in tops.values()]).astype(np.int64)) for j in (0, 1))], ["query_id", "_copy", "vec_id", "score"])
-
-        found.append(rows.mapInArrow(answer, "query_id long, _copy int, vec_id long, score long"))
-    each = found[0]
-    for f in found[1:]:
-        each = each.unionByName(f)
-    order = Window.partitionBy("query_id", "_copy").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    passes, done = max(1, -(-size // QUERY_BYTES)), []
+    for i in range(passes):
+        found = _ranked(_answers(rows, _held(asked.where(F.pmod("_h", F.lit(passes)) == i)), k), k)
+        done.append(found if passes == 1 else shared.written(found, "answers"))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 #: The same in DuckDB's SQL.
