@@ -1,11 +1,13 @@
 """Token-id files: adaptive context-mixing range coding in independent, checksummed blocks.
 
 A file holds *frames* of whole documents; a frame's ids are cut into *blocks*, each coded from a fresh
-model and followed by the CRC-32 of its ids, so that any block can be read or refused alone.
+model and followed by the CRC-32 of its ids, so that any block can be read or refused alone.  A frame
+begins with its *alphabet*, the ids that it has by falling frequency; what is coded are their ranks.
 
-The model of a block mixes three predictions of the next id: order 2 and order 1 each name the id that
-followed their context (a hash of the last two ids, or the last one) with a confidence of 0 to 3; order
-0 is an adaptive distribution over 64 ranges of ids, even within a range.  The mixture is
+The model of a block mixes three predictions of the next rank: order 2 and order 1 each name the one that
+followed their context (a hash of the last two, or the last one) with a confidence of 0 to 3; order
+0 is an adaptive distribution over 64 classes of ranks, 16 single ones and then four to each doubling, even
+within a class, where frequencies differ by a quarter or so.  The mixture is
 ``w2 [id = c2] + w1 [id = c1] + w0 p0(id)``; the weights are learnt as coding goes, one set for each
 pair of confidences and for agreeing or differing predictions.  A 64-bit range coder with carries
 codes the mixture.
@@ -32,23 +34,46 @@ from loomspan.llm import bpe, shared
 
 FRAME_IDS = 4 << 20
 LANES, LEAST_BLOCK, MOST_BLOCK = 2048, 512, 8192
-#: Ids of the 64 ranges: (first range, first id, bits of a range).
-RANGES = ((0, 0, 5), (32, 1024, 9), (48, 9216, 14))
-MOST_ID = 9216 + (16 << 14)
-MAGIC = b"LSTOK1\0\0"
+#: Ranks that are a class each; classes to each doubling of the rank after these; distinct ids of a frame at most.
+SINGLES, CLASSES, MOST_DISTINCT = 16, 4, 16 << 12
+MAGIC = b"LSTOK2\0\0"
 _SLOTS1, _SLOTS2, _EVERY = 1024, 2048, 32
 _U = np.uint64
 
 
-def _range_tables() -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(64)
-    first, bits = np.zeros(64, np.int64), np.zeros(64, np.int64)
-    for r, i, b in RANGES:
-        first[k >= r], bits[k >= r] = i + ((k[k >= r] - r) << b), b
-    return first, bits
+def _class_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The first rank of each class and the bits of a rank within it."""
+    bits = np.concatenate([np.zeros(SINGLES, np.int64), np.repeat(np.arange(2, 14), CLASSES)])
+    size = 1 << bits
+    return np.cumsum(size) - size, bits
 
 
-_FIRST, _BITS = _range_tables()
+_FIRST, _BITS = _class_tables()
+
+
+def _kind(ranks: np.ndarray) -> np.ndarray:
+    """The class of each rank."""
+    return np.searchsorted(_FIRST, ranks, "right") - 1
+
+
+def _alphabet(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids by falling frequency, in a class by number."""
+    each, times = np.unique(ids, return_counts=True)
+    if len(each) > MOST_DISTINCT:
+        raise ValueError(f"a frame holds at most {MOST_DISTINCT} distinct ids")
+    each = each[np.argsort(-times, kind="stable")]
+    return each[np.lexsort((each, _kind(np.arange(len(each)))))]
+
+
+def _packed_alphabet(alphabet: np.ndarray) -> bytes:
+    """Differences, which are small within a class, byte plane by byte plane."""
+    steps = np.diff(alphabet.astype(np.int64), prepend=0).astype("<i4")
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 9)
+
+
+def _unpacked_alphabet(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)).astype(np.uint32)
 
 
 class _Model:
@@ -71,7 +96,7 @@ class _Model:
         self.rebuild()
 
     def rebuild(self) -> None:
-        """Frequencies of the ranges, of 4096 in all."""
+        """Frequencies of the classes, of 4096 in all."""
         counts = self.counts[: self.n]
         total = np.cumsum(counts, axis=1)
         self.cum[: self.n, 1:] = np.arange(1, 65) + total * (4096 - 64) // total[:, -1:]
@@ -101,24 +126,22 @@ class _Model:
         self.two, self.one = self.one, ids
 
 
-def _kind(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < 1024, ids >> 5, np.where(ids < 9216, 32 + ((ids - 1024) >> 9), 48 + ((ids - 9216) >> 14)))
-
-
 def pack(ids: np.ndarray) -> bytes:
     """A frame of ids."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
-    if n and int(ids.max()) >= MOST_ID:
-        raise ValueError(f"ids must be below {MOST_ID}")
     block = int(min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // LANES))))
     lanes = -(-n // block)
     head = MAGIC + np.array([n, block, lanes], "<u4").tobytes()
     if not n:
         return head
     crc = np.array([zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) for i in range(lanes)], "<u4")
-    rows = np.zeros((block, lanes), np.int64)
-    rows.T.flat[:n] = ids  # a column for each block
+    alphabet = _alphabet(ids)
+    rank = np.zeros(int(alphabet.max()) + 1, np.int32)
+    rank[alphabet] = np.arange(len(alphabet))
+    named = _packed_alphabet(alphabet)
+    rows = np.zeros((block, lanes), np.int32)
+    rows.T.flat[:n] = rank[ids]  # a column for each block
     model = _Model(lanes)
     low, size = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out, at = np.zeros((block * 5 // 4 + 8, lanes), _U), np.zeros(lanes, np.int64)
@@ -141,7 +164,7 @@ def pack(ids: np.ndarray) -> bytes:
             size[short] <<= word
 
     tail = n - (lanes - 1) * block
-    kinds = _kind(rows)
+    kind_of = _kind(np.arange(len(alphabet)))
     for t in range(block):
         if t == tail and lanes > 1:
             model.narrow(lanes - 1)
@@ -150,7 +173,7 @@ def pack(ids: np.ndarray) -> bytes:
         m = model.n
         if t % _EVERY == 0:
             model.rebuild()
-        now = rows[t, :m]
+        now = rows[t, :m].astype(np.int64)
         f1, f2 = model.predict()
         hit2 = model.c2 == now
         hit1 = (model.c1 == now) & ~hit2
@@ -160,7 +183,8 @@ def pack(ids: np.ndarray) -> bytes:
         emit(m)
         rest = np.flatnonzero(~(hit1 | hit2))
         if len(rest):
-            value, k = now[rest], kinds[t, rest]
+            value = now[rest]
+            k = kind_of[value]
             a = model.cum.ravel()[model.bc[rest] + k]
             b = model.cum.ravel()[model.bc[rest] + k + 1]
             bits = _BITS[k].astype(_U)
@@ -184,7 +208,7 @@ def pack(ids: np.ndarray) -> bytes:
         out[k - 1] += out[k] >> word
         out[k] &= low_bits
     words = out.T[np.arange(out.shape[0]) < at[:, None]].astype("<u4")
-    return head + at.astype("<u4").tobytes() + crc.tobytes() + words.tobytes()
+    return head + np.array([len(named)], "<u4").tobytes() + named + at.astype("<u4").tobytes() + crc.tobytes() + words.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -194,9 +218,14 @@ def unpack(data: bytes) -> np.ndarray:
     n, block, lanes = np.frombuffer(data, "<u4", 3, 8).tolist()
     if not n:
         return np.zeros(0, np.uint32)
-    sizes = np.frombuffer(data, "<u4", lanes, 20).astype(np.int64)
-    crc = np.frombuffer(data, "<u4", lanes, 20 + 4 * lanes)
-    words = np.append(np.frombuffer(data, "<u4", -1, 20 + 8 * lanes).astype(_U), np.zeros(2, _U))
+    begin = 24 + int(np.frombuffer(data, "<u4", 1, 20)[0])
+    try:
+        alphabet = _unpacked_alphabet(data[24:begin])
+    except zlib.error as e:
+        raise ValueError("the alphabet is damaged") from e
+    sizes = np.frombuffer(data[begin:], "<u4", lanes).astype(np.int64)
+    crc = np.frombuffer(data[begin:], "<u4", lanes, 4 * lanes)
+    words = np.append(np.frombuffer(data[begin + 8 * lanes :], "<u4").astype(_U), np.zeros(2, _U))
     if int(sizes.sum()) + 2 != len(words):
         raise ValueError("the frame is cut short")
     at = np.cumsum(sizes) - sizes
@@ -248,7 +277,9 @@ def unpack(data: bytes) -> np.ndarray:
             model.counts.ravel()[model.bu[rest] + k] += 24
         rows[t, :m] = now
         model.learn(now)
-    ids = np.ascontiguousarray(rows.T).ravel()[:n]
+    if int(rows.max()) >= len(alphabet):
+        raise ValueError("a rank is beyond the alphabet")
+    ids = alphabet[np.ascontiguousarray(rows.T).ravel()[:n]]
     for i in range(lanes):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc[i]:
             raise ValueError(f"block {i} fails its checksum")
@@ -331,7 +362,7 @@ def write(docs: DataFrame, end_id: int = 0, path: str | None = None) -> DataFram
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
     )
-    frames = ordered.mapInArrow(run, f"shard int, frame int, first long, n_ids long, doc_ids array<{kind}>, n_tokens array<long>, payload binary")
+    frames = shared.mapped(ordered, run, f"shard int, frame int, first long, n_ids long, doc_ids array<{kind}>, n_tokens array<long>, payload binary")
     return shared.written(frames, "tokens")
 
 
@@ -346,7 +377,7 @@ def read(frames: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(sizes), pa.int32()), row["names"], pa.array(start + bounds[:-1]), lists], ["shard", "doc_id", "start", "ids"])
 
-    return _placed(frames, frames.mapInArrow(run, f"shard int, doc_id {kind}, start long, ids array<int>"))
+    return _placed(frames, shared.mapped(frames, run, f"shard int, doc_id {kind}, start long, ids array<int>"))
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -376,5 +407,5 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(sizes), pa.int32()), row["names"], pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    found = frames.mapInArrow(run, f"shard int, doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    found = shared.mapped(frames, run, f"shard int, doc_id {kind}, start long, n_tokens long, ids_crc32 long")
     return _placed(frames, found).select("doc_id", "start", "n_tokens", "ids_crc32")
