@@ -146,12 +146,17 @@ def transitive(regions: DataFrame, found: DataFrame, max_depth: int = 2, min_out
         known = seen
         if mask is not None:
             known = seen.unionByName(new.select(*keys).distinct().join(mask, "seq_id").select(*keys, "r_start", "r_end"))
-        fresh, grown = intervals.insert(known, new, keys, "r_start", "r_end")
-        if min_follow:
-            fresh = fresh.where(F.col("r_end") - F.col("r_start") >= min_follow)
+        fresh = cut(intervals.subtract(new, known, keys, "r_start", "r_end"))
         last = (frontier, seen)
-        frontier, seen = cut(fresh), cut(grown)
-        dropped(*last)
+        if not max_depth or depth + 1 < max_depth:  # what has been seen matters to a further level only
+            seen = cut(intervals.merge(known.select(*keys, "r_start", "r_end").unionByName(fresh), keys, "r_start", "r_end").select(*keys, "r_start", "r_end"))
+        followed = fresh.where(F.col("r_end") - F.col("r_start") >= min_follow) if min_follow else fresh
+        if last[0] is not seeds:
+            dropped(last[0])
+        if last[1] is not seen:
+            dropped(last[1])
+        frontier = followed
+        frontier.cut_to = fresh.cut_to
         if frontier.isEmpty():
             break
     out = levels[0]
