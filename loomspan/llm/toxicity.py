@@ -17,6 +17,7 @@ every score is 0; other columns pass through ``scored``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,15 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None) ->
                     keys.append(owner[: len(bucket)][on].astype(np.int64) << 20 | feature[on])
                 key, times = np.unique(np.concatenate(keys), return_counts=True)
                 row = key >> 20
-                value = times / _n_grams(bounds)[row]
-                ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((key & ((1 << 20) - 1)).astype(np.int32), value.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), batch.column("apart").slice(a, b - a), *lists], ["toxic", "apart", "features", "values"])
-
-    rows = shared.mapped(sample, vectors, "toxic int, apart boolean, features array<int>, values array<float>").toArrow().combine_chunks()
-    feature, value = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("features", "values"))
-    size = rows.column("features").combine_chunks().value_lengths().to_numpy()
-    y, apart = rows.column("toxic").to_numpy().astype(float), rows.column("apart").to_numpy().astype(bool)
+                size = np.bincount(row, minlength=b - a)
+                # Features rise within a row and most counts are 1, so their bytes deflate well.
+                parts = (batch.column("toxic").slice(a, b - a).to_numpy().astype("<i4"), batch.column("apart").slice(a, b - a).to_numpy(zero_copy_only=False).astype("<i4"), _n_grams(bounds).astype("<i4"), size.astype("<i4"), np.diff(key & ((1 << 20) - 1), prepend=0).astype("<i4"), times.astype("<i4"))
+                planes = [np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes() for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([b - a], pa.int32()), pa.array([zlib.compress(b"".join(planes), 1)], pa.binary())], ["n", "packed"])
+
+    y, apart, feature, value, size = _unpacked(shared.mapped(sample, vectors, "n int, packed binary").toArrow())
     scale = 1000.0
     weights, bias = _regress(np.repeat(np.arange(len(size)), size), feature, value * scale * ratios[feature], y, ~apart, len(buckets))
     margin = bias + np.bincount(np.repeat(np.arange(len(size)), size), weights[feature] * ratios[feature] * value * scale, len(size))
@@ -152,6 +151,23 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None) ->
     return Model(buckets, weights * ratios * scale, bias - cut + float(np.log(TOXIC / (1 - TOXIC))))
 
 
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """toxic, apart, and the features, values and numbers of features of the sampled rows."""
+    found: list[list[np.ndarray]] = []
+    for n, packed in zip(table.column("n").to_pylist(), table.column("packed").to_pylist()):
+        raw, at, own = np.frombuffer(zlib.decompress(packed), np.uint8), 0, []
+        for k in range(6):
+            if k == 4:
+                n = int(own[3].sum())
+            own.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<i4").ravel().astype(np.int64))
+            at += 4 * n
+        found.append(own)
+    toxic, apart, n_grams, size, _, times = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(6))
+    # Differences run on from row to row of a slice and begin anew in each.
+    feature = np.concatenate([np.cumsum(f[4]) for f in found] or [np.zeros(0, np.int64)])
+    return toxic.astype(float), apart.astype(bool), feature, times / np.repeat(n_grams, size), size
+
+
 def _regress(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, use: np.ndarray, n: int, steps: int = 150) -> tuple[np.ndarray, float]:
     """Ridge logistic regression, classes weighing the same, by Adam over all rows."""
     on = use[row]
