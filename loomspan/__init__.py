@@ -1 +1 @@
-"""loomspan: interval, pangenome-graph and genotype analytics as Spark DataFrames."""
+"""loomspan: interval, variation-graph and genotype analytics as Spark DataFrames."""
