@@ -5,8 +5,8 @@ size, list every 2-subset of a prefix of their shingles; *heavy* ones scan inver
 shingles, in which the light sets that can reach a heavy one stand too.  Prefixes are those of the prefix
 filter (two sets that reach the threshold share k shingles of their prefixes of size
 ``n - ceil(0.8 n) + k``), in one global order: rare shingles by hash, then frequent ones by hash.  Frequent
-are those that the prefixes by hash alone share most: each task counts them over the distinct sets that it reads,
-and the counts of all tasks are added.  Which shingles count as frequent changes the work, never the result.  The boundary is the size at which the
+are those that most sets share: each task counts all shingles of the distinct sets that it reads, and the counts of all
+tasks are added.  (Counts over prefixes by hash alone would leave most of what a large group shares among the rare ones.)  Which shingles count as frequent changes the work, never the result.  The boundary is the size at which the
 measured numbers of subsets and of list entries to be met cost least together.
 
 Lists don't emit all their pairs.  Each list's members of like size are compared with one of them (a
@@ -30,6 +30,7 @@ a component's id if it has another; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 from loomspan.llm import bpe, components, shared, text_batches
 
 WORDS, PERCENT = 5, 80
-#: Prefix shingles that a task looks at together; sets among them that make a shingle a candidate for frequent, and sets in all; frequent shingles at most.
+#: Shingles that a task looks at together; sets among them that make a shingle a candidate for frequent, and sets in all; frequent shingles at most.
 WINDOW_KEYS, WINDOW_TIMES, TIMES, MOST_FREQUENT = 4 << 20, 2, 12, 500_000
-#: Rows that comparing one candidate costs; entries of a list that is taken in one row; members of a block; blocks of strays that one task meets with a list.
-COMPARING, SHORT_LIST, BLOCK, STRAY_BLOCKS = 20, 32, 256, 4
+#: Rows that comparing one candidate costs; entries of a list that is taken in one row; members of a block, and the shingles of its sets together; blocks of strays that one task meets with a list; ratio of the sizes of a class.
+COMPARING, SHORT_LIST, BLOCK, BLOCK_SHINGLES, STRAY_BLOCKS, SIZE_CLASS = 20, 32, 256, 1 << 20, 4, 1.05
 #: Sizes up to which a boundary is looked for; rows up to which chosen row numbers are broadcast.
 MOST_BOUNDARY, BROADCAST_ROWS = 128, 500_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -108,9 +109,10 @@ def _prefix(n: int) -> int:
 
 
 class _Counts:
-    """How many distinct sets of a task have each shingle in their prefix by hash, a window of sets at a time."""
+    """How many distinct sets of a task have each shingle, in their prefix by hash or anywhere, a window of sets at a time."""
 
-    def __init__(self) -> None:
+    def __init__(self, whole: bool = False) -> None:
+        self.whole = whole
         self.seen: set[bytes] = set()
         self.parts: list[np.ndarray] = []
         self.held = 0
@@ -118,19 +120,19 @@ class _Counts:
     def add(self, s: np.ndarray, name: bytes) -> None:
         if len(s) >= 4 and name not in self.seen:
             self.seen.add(name)
-            self.parts.append(s[: _prefix(len(s))].copy())
+            self.parts.append(s if self.whole else s[: _prefix(len(s))].copy())
             self.held += len(self.parts[-1])
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """Shingles of several sets of the window and their numbers; a new window begins."""
         each, times = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.__init__()
+        self.__init__(self.whole)
         often = times >= WINDOW_TIMES
         return each[often].view(np.int64), times[often]
 
 
 def _digests(docs: DataFrame, salt: int) -> DataFrame:
-    """_rid, doc_id, n, set_id, check and bitmaps of every row; rows with n = -1 have prefix shingles that repeat in a window of a task, and how often."""
+    """_rid, doc_id, n, set_id, check and bitmaps of every row; rows with n = -1 have shingles that repeat in a window of a task, and how often."""
     kind = docs.schema["doc_id"].dataType
     names = ["_rid", "doc_id", "n", "set_id", "check", "often", "times", "map", "half"]
 
@@ -142,7 +144,7 @@ def _digests(docs: DataFrame, salt: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.nulls(1, doc_type), pa.array([-1], pa.int64()), *none[:2], *lists, *none[2:]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, doc_type = _Counts(), None
+        counts, doc_type = _Counts(whole=True), None
         for batch in batches:
             doc_type = batch.column("doc_id").type
             for a, b, data, offsets in bpe.text_slices(batch.column("text")):
@@ -183,10 +185,10 @@ def boundary(sizes: dict[int, int], heavier: int, met: float) -> int:
 
 
 def _keys(s: np.ndarray, frequent: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys under which a set is found, and whether each may stand for the smaller set of a pair."""
+    """The keys under which a set is found, and for each the size of the largest set that it can link with if they share nothing before it."""
     n = len(s)
     if n < 4:  # no other set reaches 80 % of so few
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     prefix = n - int(_needed(n))
     first = s[: prefix + 2]
     if len(frequent):
@@ -194,21 +196,21 @@ def _keys(s: np.ndarray, frequent: np.ndarray, light: int) -> tuple[np.ndarray,
         common = frequent[at] == s
         if common[: prefix + 2].any():
             first = np.concatenate([s[~common], s[common]])[: prefix + 2]
-    keys, small = [], []
+    keys, reach = [], []
     if n <= light:
         i, j = np.triu_indices(len(first), 1)
         a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
         keys.append(_mixed(_mixed(a + _K2) * _K1 + b))
-        small.append(np.ones(len(i), bool))
+        reach.append(np.full(len(i), 100 * n // PERCENT))
     if n > light or 100 * n >= PERCENT * (light + 1):
         keys.append(first[: prefix + 1])
-        # The smaller of two linking sets shares 8/9 of its shingles.
-        small.append(np.arange(len(keys[-1])) <= n - -(-8 * n // 9))
-    return np.concatenate(keys), np.concatenate(small)
+        # Linking sets share PERCENT / (100 + PERCENT) of both sizes, and what is left from here on at most.
+        reach.append(np.minimum(100 * n // PERCENT, (100 + PERCENT) * (n - np.arange(len(keys[-1]))) // PERCENT - n))
+    return np.concatenate(keys), np.concatenate(reach).astype(np.int32)
 
 
 def _postings(docs: DataFrame, salt: int, frequent: np.ndarray, light: int) -> DataFrame:
-    """key, n, set_id and small, for the sets of each task, once for each set."""
+    """key, n, set_id and reach, for the sets of each task, once for each set."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,26 +228,26 @@ def _postings(docs: DataFrame, salt: int, frequent: np.ndarray, light: int) -> D
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate([f[2] for f in found]).view(np.int64)), pa.array(np.repeat(np.array([f[0] for f in found], np.int32), times)),
                          pa.array(np.repeat(np.array([f[1] for f in found], np.int64), times)), pa.array(np.concatenate([f[3] for f in found]))],
-                        ["key", "n", "set_id", "small"],
+                        ["key", "n", "set_id", "reach"],
                     )
 
-    return shared.mapped(docs.select(F.col("text").cast("string").alias("text")), run, "key long, n int, set_id long, small boolean")
+    return shared.mapped(docs.select(F.col("text").cast("string").alias("text")), run, "key long, n int, set_id long, reach int")
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """key, a, b, n, small, and whether the list has three sets or more, of each member b of a list of two or more; a is the centre it is compared with.
+    """key, a, b, n, reach, and whether the list has three sets or more, of each member b of a list of two or more; a is the centre it is compared with.
 
     Lists are read in order, so a task holds one entry of a list and no more.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "set_id", "small", "times")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "set_id", "reach", "times")]
             columns[4] = columns[4].astype(np.int64)
-            key, n, sid, small, times = columns
+            key, n, sid, reach, times = columns
             keep = np.ones(len(key), bool)
             keep[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-            key, n, sid, small, times = (c[keep] for c in columns)
+            key, n, sid, reach, times = (c[keep] for c in columns)
             if not len(key):
                 continue
             new = np.append(True, key[1:] != key[:-1])
@@ -270,9 +272,9 @@ def _stars(postings: DataFrame) -> DataFrame:
                 centre[i], centre_n[i] = own, own_n
             head = (carry[1], carry[2]) if run_of[-1] < 0 else (int(sid[heads[-1]]), int(n[heads[-1]]))
             carry = (key[-1], *head, int(centre[-1]), int(centre_n[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(small), pa.array(times >= 3)], ["key", "a", "b", "n", "small", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(reach), pa.array(times >= 3)], ["key", "a", "b", "n", "reach", "open"])
 
-    return shared.mapped(postings, run, "key long, a long, b long, n int, small boolean, open boolean")
+    return shared.mapped(postings, run, "key long, a long, b long, n int, reach int, open boolean")
 
 
 def _lists(postings: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -285,7 +287,7 @@ def _lists(postings: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     shared.released(postings.sparkSession)
     met = shared.written(held.groupBy("set_id").agg(F.sum("times").alias("met")), "met")
     ranked = held.join(met, "set_id").repartition("key").sortWithinPartitions("key", F.desc("met"), "n", "set_id")
-    return ranked.select("key", "n", "set_id", "small", "times"), [held, met]
+    return ranked.select("key", "n", "set_id", "reach", "times"), [held, met]
 
 
 def _bounded(pairs: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,12 +360,12 @@ def linked(docs: DataFrame) -> DataFrame:
     often = shared.written(often, "often")
     top = often.where(F.col("times") >= TIMES).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow()
     frequent = np.sort(top.column("shingle").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    # Entries that repeat although their shingles don't count as frequent.
+    # Shingles that repeat without counting as frequent; entries of lists are taken to repeat as often.
     repeated = often.where(F.col("times") < TIMES).agg(F.sum("times").alias("n")).first()["n"] or 0
     shared.dropped(often)
-    counts = sets.groupBy(F.least("n", F.lit(MOST_BOUNDARY + 1)).alias("n")).agg(F.count("*").alias("sets"), F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).alias("entries")).collect()
+    counts = sets.groupBy(F.least("n", F.lit(MOST_BOUNDARY + 1)).alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).collect()
     small = {r["n"]: r["sets"] for r in counts if 4 <= r["n"] <= MOST_BOUNDARY}
-    light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), repeated / max(1, sum(r["entries"] for r in counts)))
+    light = boundary(small, sum(r["sets"] for r in counts if r["n"] > MOST_BOUNDARY), repeated / max(1, sum(r["shingles"] for r in counts)))
     lists, behind = _lists(_postings(docs, salt, frequent, light))
     stars = shared.written(_stars(lists), "stars")
     shared.dropped(*behind)
@@ -391,8 +393,8 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def _rest(stars: DataFrame, compared: DataFrame, comps: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of one list that may link, aren't compared, and whose sets are in different components."""
-    member = stars.where("open").select("key", "a", F.col("b").alias("s"), "n", "small")
-    placed = member.join(comps, member["s"] == comps["v"], "left").select("key", "a", "s", "n", "small", F.coalesce("comp", "s").alias("comp"))
+    member = stars.where("open").select("key", "a", F.col("b").alias("s"), "n", "reach")
+    placed = member.join(comps, member["s"] == comps["v"], "left").select("key", "a", "s", "n", "reach", F.coalesce("comp", "s").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count("*").alias("size")).where("_least <> _most").select("key", "size")
     held = shared.written(mixed, "mixed")
     left = shared.written(placed.join(held, "key"), "unclosed")
@@ -406,9 +408,9 @@ def _rest(stars: DataFrame, compared: DataFrame, comps: DataFrame, digests: Data
 def _pairs_of_short_lists(left: DataFrame, compared: DataFrame) -> DataFrame:
     """p and q of the pairs in lists of bounded length, less those that sizes, positions or distances to the centre rule out."""
     apart = compared.select("a", F.col("b").alias("s"), "least", "most")
-    known = left.join(apart, ["a", "s"], "left").select("key", F.struct("a", "s", F.col("n").cast("long").alias("n"), F.col("small").cast("long").alias("small"), "comp", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(0.0)).alias("most")).alias("m"))
+    known = left.join(apart, ["a", "s"], "left").select("key", F.struct("a", "s", F.col("n").cast("long").alias("n"), F.col("reach").cast("long").alias("reach"), "comp", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(0.0)).alias("most")).alias("m"))
     lists = known.groupBy("key").agg(F.collect_list("m").alias("m")).select("m")
-    reach = (100 - PERCENT) / 100 + 1e-9
+    far = (100 - PERCENT) / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,12 +422,8 @@ def _pairs_of_short_lists(left: DataFrame, compared: DataFrame) -> DataFrame:
                 i, j = np.triu_indices(k, 1)
                 own = begin[size == k][:, None]
                 i, j = (own + i).ravel(), (own + j).ravel()
-                # The smaller set first, of equal sizes that of the lesser name.
-                turn = (c["n"][i] > c["n"][j]) | ((c["n"][i] == c["n"][j]) & (c["s"][i] > c["s"][j]))
-                i, j = np.where(turn, j, i), np.where(turn, i, j)
-                may = (c["s"][i] != c["s"][j]) & (c["comp"][i] != c["comp"][j]) & (100 * c["n"][i] >= PERCENT * c["n"][j])
-                may &= (c["small"][i] == 1) | ((c["n"][i] == c["n"][j]) & (c["small"][j] == 1))
-                may &= (c["a"][i] != c["a"][j]) | ((c["least"][i] - c["most"][j] <= reach) & (c["least"][j] - c["most"][i] <= reach))
+                may = (c["s"][i] != c["s"][j]) & (c["comp"][i] != c["comp"][j]) & (c["n"][i] <= c["reach"][j]) & (c["n"][j] <= c["reach"][i])
+                may &= (c["a"][i] != c["a"][j]) | ((c["least"][i] - c["most"][j] <= far) & (c["least"][j] - c["most"][i] <= far))
                 p.append(np.minimum(c["s"][i[may]], c["s"][j[may]]))
                 q.append(np.maximum(c["s"][i[may]], c["s"][j[may]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (p, q)], ["p", "q"])
@@ -433,41 +431,67 @@ def _pairs_of_short_lists(left: DataFrame, compared: DataFrame) -> DataFrame:
     return shared.mapped(lists, run, "p long, q long")
 
 
+def _reached(members: DataFrame, others: DataFrame) -> DataFrame:
+    """``members`` with a set among ``others`` of their list that is in a different component and that sizes and positions let link."""
+    of = others.groupBy(F.col("key").alias("_key"), F.col("n").alias("_n")).agg(F.max("reach").alias("_reach"), F.min("comp").alias("_from"), F.max("comp").alias("_to"))
+    fits = (F.col("n") <= F.col("_reach")) & (F.col("_n") <= F.col("reach")) & ((F.col("comp") != F.col("_from")) | (F.col("comp") != F.col("_to")))
+    return members.join(of, (F.col("key") == F.col("_key")) & fits, "left_semi")
+
+
 def _pairs_of_long_lists(left: DataFrame, digests: DataFrame, sets: DataFrame) -> DataFrame:
     """p and q of the pairs that bitmaps let link.
 
-    A list's members go into blocks, and those outside its largest component into blocks of their own; each
-    pair of blocks is one row, compared in numpy.  The blocks of strays of a list are dealt over tasks, a few to
-    each, which meet all blocks of the list.  A pair is given only by the least key that it shares.
+    First go the sets outside a list's largest component (strays) that nothing in the list can link with by sizes
+    and positions, then all others that no remaining stray can link with: a copy changed so much that it is a
+    stray mostly has its own shingles before those that it shares with the many.  What remains goes into blocks of
+    sets of like size, and strays into blocks of their own; each pair of blocks that sizes let link is one row,
+    compared in numpy.  The blocks of strays of a list are dealt over tasks, a few to each, which meet the list's
+    blocks of the sizes in reach.  A pair is given only by the least of the keys where they let it link.
     """
-    sized = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), (F.sum("n") - F.max("n")).alias("strays"))
-    keys = left.groupBy("s").agg(F.first("comp").alias("comp"), F.array_sort(F.collect_list("key")).alias("keys"))
+    sized = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"))
+    strays = shared.written(_reached(left.join(sized, "key").where("comp <> main").drop("main"), left), "strays")
+    met = shared.written(_reached(left, strays), "met")
+    # A stray whose like are all in the largest component is met by no stray.
+    keys = met.unionByName(strays).select("key", "s", "comp", "reach").distinct().groupBy("s").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "reach")).alias("k")).select("s", "comp", F.col("k.key").alias("keys"), F.col("k.reach").alias("reaches"))
     marks = shared.written(
-        keys.join(sets.select(F.col("set_id").alias("s"), "_rid"), "s").join(digests.select("_rid", "n", "map", "half"), "_rid").select("s", F.struct("s", "comp", "n", "map", "half", "keys").alias("m")), "blocks")
-    entries = left.select("key", "s", "size").join(marks, "s").join(sized, "key")
-    stray_blocks = F.ceil(F.col("strays") / BLOCK)
-    salts = F.ceil(stray_blocks / STRAY_BLOCKS).cast("int")
-    block = F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    stray_block = F.pmod(F.xxhash64("s"), stray_blocks)
-    all_ = entries.groupBy("key", block).agg(F.collect_list("m").alias("x"), F.first(salts).alias("salts")).select("key", "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    strays = entries.where(F.col("m.comp") != F.col("main")).groupBy("key", stray_block.alias("block"), F.pmod(stray_block, salts.cast("long")).cast("int").alias("salt")).agg(F.collect_list("m").alias("y")).drop("block")
+        keys.join(sets.select(F.col("set_id").alias("s"), "_rid"), "s").join(digests.select("_rid", "n", "map", "half"), "_rid").select("s", "comp", "n", "map", "half", "keys", "reaches"), "blocks")
+    class_ = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_CLASS)).cast("int")
+
+    def blocks(members: DataFrame, name: str, *more: Column) -> DataFrame:
+        """key, class, block, the block's least size and longest reach, and its sets as ``name``."""
+        placed = members.select("key", "s", "reach", class_(F.col("n")).alias("class"), F.col("n").alias("_n"))
+        held = placed.groupBy("key", "class").agg(F.ceil(F.count("*") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.max("_n"))))).alias("_blocks"))
+        dealt = placed.join(held, ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("s"), "_blocks")).drop("_n")
+        m = F.struct("s", "comp", "n", "map", "half", "keys", "reaches", "reach")
+        return dealt.join(marks, "s").groupBy("key", "class", "block").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.max("reach").alias("_reach"), F.collect_list(m).alias(name))
+
+    y = blocks(strays, "y")
+    # Each block of strays goes to the classes of sizes that its sets can link with.
+    lowest = class_(F.ceil(F.col("_least") * PERCENT / 100))
+    y = y.select("key", F.explode(F.sequence(lowest, F.greatest(lowest, class_(F.col("_reach"))))).alias("class"), F.col("block").alias("_block"), F.col("_least").alias("_y0"), F.col("_reach").alias("_y1"), "y")
+    wanted = strays.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK * STRAY_BLOCKS)).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("_block", "_y0"), F.col("salts").cast("long")).cast("int").alias("salt")
+    y = y.join(wanted, "key").select("key", "class", salt, "_y0", "_y1", "y")
+    x = blocks(met, "x").join(wanted, "key").select("key", "class", F.col("_least").alias("_x0"), F.col("_reach").alias("_x1"), "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, x, y in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y"))):
-                found = list(_block_pairs(key, x, y))
+            for key, x, y in zip(*(batch.column(c) for c in ("key", "x", "y"))):
+                found = list(_block_pairs(key.as_py(), x.as_py(), y.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["p", "q"])
 
-    return shared.mapped(all_.join(strays, ["key", "salt"]).select("key", "x", "y"), run, "p long, q long")
+    both = x.join(y, ["key", "class", "salt"]).where("_x0 <= _y1 AND _y0 <= _x1")
+    return shared.mapped(both.select("key", "x", "y"), run, "p long, q long")
 
 
 def _block_pairs(key: int, x: list[dict], y: list[dict]) -> Iterator[tuple[int, int]]:
     by_words: dict[int, list[dict]] = {}
     for m in x:
         by_words.setdefault(len(m["map"]), []).append(m)
-    tables = {w: (ms, *(np.array([m[c] for m in ms], np.int64) for c in ("n", "comp", "map", "half"))) for w, ms in by_words.items()}
+    tables = {w: (ms, *(np.array([m[c] for m in ms], np.int64) for c in ("n", "reach", "comp", "map", "half"))) for w, ms in by_words.items()}
     for m in y:
-        for w, (ms, n, comp, map_, half) in tables.items():
+        own = dict(zip(m["keys"], m["reaches"]))
+        for w, (ms, n, reach, comp, map_, half) in tables.items():
             if len(m["map"]) == w:
                 mine, theirs = m["map"], map_
             elif len(m["half"]) == w and len(m["map"]) == 2 * w:
@@ -476,10 +500,10 @@ def _block_pairs(key: int, x: list[dict], y: list[dict]) -> Iterator[tuple[int,
                 mine, theirs = m["map"], half
             else:
                 continue  # of sizes that can't link
-            apart = np.bitwise_count((theirs ^ np.array(mine, np.int64)).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            near = (100 * np.minimum(n, m["n"]) >= PERCENT * np.maximum(n, m["n"])) & (comp != m["comp"])
-            for i in np.flatnonzero(near & ((100 - PERCENT) * (n + m["n"]) >= (100 + PERCENT) * apart)).tolist():
-                if min(set(ms[i]["keys"]) & set(m["keys"])) == key:
+            near = np.flatnonzero((n <= m["reach"]) & (m["n"] <= reach) & (comp != m["comp"]))
+            apart = np.bitwise_count((theirs[near] ^ np.array(mine, np.int64)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            for i in near[(100 - PERCENT) * (n[near] + m["n"]) >= (100 + PERCENT) * apart].tolist():
+                if min(k for k, r in zip(ms[i]["keys"], ms[i]["reaches"]) if m["n"] <= r and n[i] <= own.get(k, 0)) == key:
                     yield min(m["s"], ms[i]["s"]), max(m["s"], ms[i]["s"])
 
 

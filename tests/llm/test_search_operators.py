@@ -182,3 +182,32 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     final = seen["bpe"][1]
     assert final.round_trip.all() and len(final) == len(after)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(final)
+
+
+def test_jaccard_wide_groups(spark):
+    """What a group of changed copies shares counts as frequent beyond the prefixes by hash, so that too much changed copies meet nobody in long lists."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+            own[at] = f"x{i}_{at}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "_rid long, text string").withColumn("doc_id", F.col("_rid")).coalesce(1)
+    told = {k for r in jaccard._digests(docs, 0).where("n < 0").collect() for k in r["often"]}
+    sets = jaccard.shingle_sets(" ".join(base).encode(), np.array([0, len(" ".join(base))]))[0]
+    assert set(sets.view(np.int64).tolist()) <= told
+    # A set's own shingles stand first; past a ninth of all it can't link with a set of its size.
+    frequent = np.sort(sets)
+    own = np.setdiff1d(jaccard.shingle_sets(texts[0].encode(), np.array([0, len(texts[0])]))[0], frequent)
+    whole = np.sort(np.concatenate([frequent[: 180 - len(own)], own]))
+    n = len(whole)
+    keys, reach = jaccard._keys(whole, frequent, 0)
+    assert set(keys[: len(own)].tolist()) <= set(own.tolist())
+    assert [r >= n for r in reach] == [p <= n - -(-8 * n // 9) for p in range(len(keys))]
+    rows = [(1, s, n, reach, comp) for s, n, reach, comp in ((1, 100, 95, 1), (2, 100, 120, 2), (3, 94, 117, 2), (4, 94, 99, 4), (5, 90, 92, 2))]
+    members = spark.createDataFrame(rows, "key long, s long, n long, reach long, comp long")
+    fits = {a[1] for a in rows for b in rows if a[4] != b[4] and a[2] <= b[3] and b[2] <= a[3]}
+    # Others are judged by size together, so some stay that fit none of them.
+    assert fits <= {r["s"] for r in jaccard._reached(members, members).collect()} < {1, 2, 3, 4, 5}
