@@ -274,6 +274,20 @@ def test_quality_verdicts_by_the_definition(spark):
     assert fresh["kept"][good].mean() > 0.97 and fresh["kept"][~good].mean() < 0.05
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Leaves hold every good row, however many and however spread, and the threshold is the best over all scores."""
+    n = 21_000
+    stats = shared.written(spark.range(n).selectExpr("id AS doc_id", *(f"CAST(100 + pmod(hash(id, {i}), {50 if i < 2 else 9}) AS LONG) AS {c}" if c != "n_repeat_words" else f"0L AS {c}" for i, c in enumerate(quality.COUNTS))).repartition(5), "stats")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 7 > 0 AS INT) AS quality")
+    forest, cut = quality.fit(stats, labels)
+    rows = stats.toPandas()
+    good = (rows["doc_id"] % 7 > 0).to_numpy()
+    assert forest.usual == pytest.approx(2 * (np.log(good.sum() - 1) + 0.5772156649) - 2 * (good.sum() - 1) / good.sum())
+    score = forest.scores(quality.features(rows))
+    worth = {x: (score[~good] > x).mean() - 5 * (score[good] > x).mean() for x in np.unique(score)[-400:] if (score[good] > x).mean() <= quality.CLEAN_LOSS}
+    assert (score[~good] > cut).mean() - 5 * (score[good] > cut).mean() == pytest.approx(max(worth.values()))
+
+
 def test_frequent_shingles_are_counted_over_tasks():
     counts = jaccard._Counts()
     a, b = np.arange(0, 4000, 4, dtype=np.uint64), np.arange(0, 4000, 8, dtype=np.uint64)
