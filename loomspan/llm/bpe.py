@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -287,7 +288,10 @@ class Encoder:
 
     def _store(self, words: list[bytes], found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
+        self._keep(words, np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum())), size)
+
+    def _keep(self, words: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        """The words' ids, one word after another, and how many each has."""
         n, m = len(self.known), self.used
         if n + len(words) > len(self.begin):
             more = max(len(self.begin), n + len(words))
@@ -307,12 +311,14 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         words = pa.BinaryArray.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data)])
         coded = words.dictionary_encode()
-        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > CACHE_WORDS:
             self._forget()
-        if new := [w for w in distinct if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[code]
+        at = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        if len(new := distinct[at < 0]):
+            self._learn(new.tolist())
+            at[at < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        at = at[code]
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         return gather(self.pool, self.begin[at], size), ends[before]
@@ -328,7 +334,7 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first row, row after the last, bytes of the texts, their bounds) in pieces of bounded size."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
@@ -337,7 +343,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]
     data = memoryview(column.buffers()[2] or b"")
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, "right")) - 1)
         yield a, b, bytes(data[bounds[a] : bounds[b]]), bounds[a : b + 1] - bounds[a]
         a = b
 

@@ -296,3 +296,53 @@ def test_frequent_shingles_are_counted_over_tasks():
     each, times = counts.repeated()
     assert set(each.tolist()) == set(a[: jaccard._prefix(len(a))].tolist()) & set(b[: jaccard._prefix(len(b))].tolist()) and (times == 2).all()
     assert counts.held == 0 and not counts.seen
+
+
+def test_frames_take_few_steps(library_ids, monkeypatch):
+    """Frequent pairs are coded at once: the coder's work is by symbol, in packing and in unpacking."""
+    coded, plain = [], token_file._Model.predict
+    monkeypatch.setattr(token_file._Model, "predict", lambda model: (coded.append(model.n), plain(model))[1])
+    packed = token_file.pack(library_ids)
+    assert sum(coded) < 0.7 * len(library_ids)
+    coded.clear()
+    assert (token_file.unpack(packed) == library_ids).all()
+    assert sum(coded) < 0.7 * len(library_ids)
+
+
+def test_pairs_of_any_alphabet_come_back():
+    full = np.arange(token_file.MOST_DISTINCT)
+    for ids in (np.concatenate([full, np.tile([5, 6, 7], 3000)]), np.concatenate([full[:-9], np.tile([5, 6, 7, 8, 9, 1], 9000)]), np.arange(9001) % 2 * 99_999, np.tile([1, 1, 1, 2], 70_000)):
+        assert (token_file.unpack(token_file.pack(ids.astype(np.uint32))) == ids).all()
+
+
+def test_any_damage_of_a_frame_is_seen(library_ids):
+    ids = library_ids[:30_000]
+    packed = token_file.pack(ids)
+    for at in [*range(8, 40), len(packed) // 2]:
+        broken = bytearray(packed)
+        broken[at] ^= 16
+        with pytest.raises(ValueError):
+            token_file.unpack(bytes(broken))
+    for end in (20, 200, len(packed) - 1):
+        with pytest.raises(ValueError):
+            token_file.unpack(packed[:end])
+
+
+def test_library_is_asked_in_running_text():
+    enc, asked = token_file.LibraryEncoder(), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+    plain, enc.library = enc.library, Library()
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("aeinrst"), 6)) for _ in range(2000))]
+    texts += ["", " ", "a b  c", "don't 'll  've 's", "\x1c \x1cz", " <|endoftext|> a<|endoftext|>b", " \x85a \xa0\u2003q \u3000w \u1680", "1 2 33 a1 !? ,", "\u65e5\u672c \u8a9e \xe9t\xe9"]
+    texts += ["".join(rng.choice(list(" \t\n  \x1c\x85\xa0\u2003'sLl1\xe9\u65e5!ve<|>"), 30)) for _ in range(100)]
+    data = [t.encode() for t in texts]
+    flat, at = enc.encode(b"".join(data), np.cumsum([0, *map(len, data)]))
+    for i, t in enumerate(texts):
+        assert flat[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(asked) < 500  # there are some 2,000 distinct words
