@@ -41,3 +41,11 @@ def test_nodes_of_many_occurrences_place_every_two_paths(spark, folder):
     got, wanted = compared(spark, folder, "linear_ends")
     assert got == wanted
     assert len({r[:2] for r in got}) == 50 * 49
+
+
+def test_nodes_of_many_occurrences_are_in_longest_matches(spark, folder):
+    """Order 101 has the parts of many others in their order, so its one match is its whole walk."""
+    got, wanted = compared(spark, folder, "matches_pruned")
+    assert got == wanted
+    steps = e.queries()["syncmer_walks"](spark, folder).where("path_id = 101").count()
+    assert [r for r in got if r[0] == 101] == [(101, 0, steps)]
