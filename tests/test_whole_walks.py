@@ -49,3 +49,10 @@ def test_nodes_of_many_occurrences_are_in_longest_matches(spark, folder):
     assert got == wanted
     steps = e.queries()["syncmer_walks"](spark, folder).where("path_id = 101").count()
     assert [r for r in got if r[0] == 101] == [(101, 0, steps)]
+
+
+def test_nodes_of_many_occurrences_count_as_hits(spark, folder):
+    """Every two orders share the nodes of part 1."""
+    got, wanted = compared(spark, folder, "read_hits")
+    assert got == wanted
+    assert len(got) == 50 * 50
