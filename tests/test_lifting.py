@@ -66,3 +66,32 @@ def test_hits_are_folded_in_batches_and_not_shuffled(tables, what):
           "joined": lambda: projection.query_merged(regions, found, 10), "approximate": lambda: projection.approximate(regions, traced)}[what]()
     above = plan(df).split("MapInArrow")[0]
     assert "MapInArrow" in plan(df) and "aggregate(" not in above and "Window" not in above and "Join" not in plan(df)
+
+
+def test_chains_are_those_of_the_fold_over_a_row(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for distance in (0, 15, 100):
+        who, a0, b0 = rng.integers(0, 12, 300), rng.integers(0, 900, 300), rng.integers(0, 900, 300)
+        a1, b1 = a0 + rng.integers(1, 40, 300), b0 + rng.integers(1, 40, 300)
+        df = spark.createDataFrame(np.stack([who, a0, a1, b0, b1], 1).tolist(), "who long, a0 long, a1 long, b0 long, b1 long")
+        wanted = Counter(map(tuple, intervals.merge_either(df, ["who"], ("a0", "a1"), ("b0", "b1"), distance).select("who", "a0", "a1").collect()))
+        assert Counter(zip(*(x.tolist() for x in lifting.chained(who, a0, a1, b0, b1, distance)))) == wanted
+    assert [len(x) for x in lifting.chained(*(np.zeros(0, np.int64),) * 5, 3)] == [0, 0, 0]
+
+
+def test_regions_are_refined_by_all_flanks(spark):
+    """Flanks go to 10,000 bases, not to 400."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as con:
+        for table in ("region", "nation", "customer", "lineitem"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        wanted = con.execute(e.oracle_sql()["refine_regions"]).fetchall()
+    got = e.queries()["refine_regions"](spark, folder)
+    assert Counter(map(tuple, got.collect())) == Counter(wanted)
+    assert got.where("`left` > 400").count() and got.where("`right` > 400").count()
